@@ -2,17 +2,29 @@
 
 from __future__ import annotations
 
-from . import quality_rules
+from . import quality_rules, secrets, url_filter, warc
 from .common import table
 
 
+def op3_url_filters(spark, sf_dir):
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
+def op8_secret_scans(spark, sf_dir):
+    return secrets.report(table(spark, sf_dir, "documents"))
+
+
 def op9_quality_rules(spark, sf_dir):
     return quality_rules.report(table(spark, sf_dir, "documents"))
 
 
+def op10_warc(spark, sf_dir):
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict:
-    return {"op9_quality_rules": op9_quality_rules}
+    return {f.__name__: f for f in (op3_url_filters, op8_secret_scans, op9_quality_rules, op10_warc)}
 
 
 def oracle_sql() -> dict:
-    return {"op9_quality_rules": quality_rules.ORACLE_SQL}
+    return {"op3_url_filters": url_filter.ORACLE_SQL, "op9_quality_rules": quality_rules.ORACLE_SQL, "op10_warc": warc.ORACLE_SQL}
