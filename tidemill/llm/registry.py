@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import quality_rules, secrets, url_filter, warc
+import public_tokenizers
+
+from . import bpe, packing, quality_rules, secrets, url_filter, warc
 from .common import table
 
 
@@ -10,6 +12,19 @@ def op3_url_filters(spark, sf_dir):
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
 
+#: The tokenizer file; a parameter of the operators.
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+
+
+def op5_bpe(spark, sf_dir):
+    return bpe.report(table(spark, sf_dir, "documents"), WORD_BPE)
+
+
+def op6_packing(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return packing.pack(docs, bpe.plain_codec(spark, WORD_BPE))
+
+
 def op8_secret_scans(spark, sf_dir):
     return secrets.report(table(spark, sf_dir, "documents"))
 
@@ -23,7 +38,7 @@ def op10_warc(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_url_filters, op8_secret_scans, op9_quality_rules, op10_warc)}
+    return {f.__name__: f for f in (op3_url_filters, op5_bpe, op6_packing, op8_secret_scans, op9_quality_rules, op10_warc)}
 
 
 def oracle_sql() -> dict:
