@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bpe, packing, quality_rules, secrets, url_filter, warc
+from . import bpe, jaccard, packing, quality_rules, secrets, url_filter, warc
 from .common import table
 
 
@@ -12,6 +12,10 @@ def op3_url_filters(spark, sf_dir):
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
 
+def op4_ngram_jaccard(spark, sf_dir):
+    return jaccard.join(table(spark, sf_dir, "documents"), n=3, percent=90)
+
+
 #: The tokenizer file; a parameter of the operators.
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
@@ -38,8 +42,8 @@ def op10_warc(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_url_filters, op5_bpe, op6_packing, op8_secret_scans, op9_quality_rules, op10_warc)}
+    return {f.__name__: f for f in (op3_url_filters, op4_ngram_jaccard, op5_bpe, op6_packing, op8_secret_scans, op9_quality_rules, op10_warc)}
 
 
 def oracle_sql() -> dict:
-    return {"op3_url_filters": url_filter.ORACLE_SQL, "op9_quality_rules": quality_rules.ORACLE_SQL, "op10_warc": warc.ORACLE_SQL}
+    return {"op4_ngram_jaccard": jaccard.oracle_sql(3, 90), "op3_url_filters": url_filter.ORACLE_SQL, "op9_quality_rules": quality_rules.ORACLE_SQL, "op10_warc": warc.ORACLE_SQL}
