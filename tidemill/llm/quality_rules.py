@@ -54,7 +54,9 @@ def counted(docs: DataFrame, into: str) -> DataFrame:
     df = df.withColumn(hits, F.array_sort(F.transform(F.filter(grams, lambda x, k: same(x, k + 1) | (k > 0) & same(x, F.greatest(k - 1, F.lit(0)))), lambda x: x["i"]))).drop(grams)
     spans = F.transform(hits, lambda p, k: F.least(F.lit(3), F.coalesce(_at(F.col(hits), k + 1) - p, F.lit(3))))
     repeat = F.aggregate(spans, F.lit(0).cast("long"), lambda a, x: a + x)
-    return df.withColumn(into, F.struct(*[F.col(sizes)[c].alias(c) for c in (*COUNTS[:4], "n_lines")], repeat.alias("n_repeat_words"))).drop(sizes, hits)
+    # The generator keeps filters above from being pushed into, and so multiplying, the expressions below.
+    counts = F.struct(*[F.col(sizes)[c].alias(c) for c in (*COUNTS[:4], "n_lines")], repeat.alias("n_repeat_words"))
+    return df.withColumn(into, F.explode(F.array(counts))).drop(sizes, hits)
 
 
 def base_failed(c: Column) -> Column:
