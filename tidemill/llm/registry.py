@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bpe, jaccard, packing, quality_rules, secrets, url_filter, warc
+from . import bpe, jaccard, packing, quality_classifier, quality_rules, secrets, url_filter, warc
 from .common import table
 
 
+def op1_quality_classifier(spark, sf_dir):
+    return quality_classifier.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_url_filters(spark, sf_dir):
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
@@ -42,7 +46,9 @@ def op10_warc(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_url_filters, op4_ngram_jaccard, op5_bpe, op6_packing, op8_secret_scans, op9_quality_rules, op10_warc)}
+    import corpus_pipeline
+
+    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_quality_classifier, op3_url_filters, op4_ngram_jaccard, op5_bpe, op6_packing, op8_secret_scans, op9_quality_rules, op10_warc)}
 
 
 def oracle_sql() -> dict:
