@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bpe, jaccard, packing, quality_classifier, quality_rules, secrets, url_filter, warc
+from . import bpe, embedding_dedup, jaccard, language_id, packing, quality_classifier, quality_rules, secrets, url_filter, warc
 from .common import table
 
 
@@ -12,6 +12,10 @@ def op1_quality_classifier(spark, sf_dir):
     return quality_classifier.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_embedding_dedup(spark, sf_dir):
+    return embedding_dedup.join(table(spark, sf_dir, "embeddings"))
+
+
 def op3_url_filters(spark, sf_dir):
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
@@ -33,6 +37,11 @@ def op6_packing(spark, sf_dir):
     return packing.pack(docs, bpe.plain_codec(spark, WORD_BPE))
 
 
+def op7_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return language_id.identify(docs, language_id.fit(docs))
+
+
 def op8_secret_scans(spark, sf_dir):
     return secrets.report(table(spark, sf_dir, "documents"))
 
@@ -48,8 +57,8 @@ def op10_warc(spark, sf_dir):
 def queries() -> dict:
     import corpus_pipeline
 
-    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_quality_classifier, op3_url_filters, op4_ngram_jaccard, op5_bpe, op6_packing, op8_secret_scans, op9_quality_rules, op10_warc)}
+    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_quality_classifier, op2_embedding_dedup, op3_url_filters, op4_ngram_jaccard, op5_bpe, op6_packing, op7_language_id, op8_secret_scans, op9_quality_rules, op10_warc)}
 
 
 def oracle_sql() -> dict:
-    return {"op4_ngram_jaccard": jaccard.oracle_sql(3, 90), "op3_url_filters": url_filter.ORACLE_SQL, "op9_quality_rules": quality_rules.ORACLE_SQL, "op10_warc": warc.ORACLE_SQL}
+    return {"op2_embedding_dedup": embedding_dedup.ORACLE_SQL, "op4_ngram_jaccard": jaccard.oracle_sql(3, 90), "op3_url_filters": url_filter.ORACLE_SQL, "op9_quality_rules": quality_rules.ORACLE_SQL, "op10_warc": warc.ORACLE_SQL}
