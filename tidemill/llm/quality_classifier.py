@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, maybe_broadcast, stash
+from .common import discard, fresh, maybe_broadcast, stash
 
 #: Labelled documents that the classifier is fitted on, the first in the order of a hash of their ids.
 SAMPLE = 6_000
@@ -102,18 +102,17 @@ class Model:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> DataFrame:
-    """Bins, distinct words and labels of at most size labelled documents; the ids are chosen before any text is read."""
+    """Bins, features and labels of at most size labelled documents; the ids are chosen before any text is read."""
     rows = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
     chosen = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(size)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t or "" for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([style(t) for t in texts], pa.list_(pa.int32())), pa.array([sorted(word_set(t)) for t in texts], pa.list_(pa.string())), batch.column(1), batch.column(2)], ["bins", "words", "quality", "toxic"])
+            yield pa.RecordBatch.from_arrays([pa.array([style(t) for t in texts], pa.list_(pa.int32())), pa.array([list(features(word_set(t))) for t in texts], pa.list_(pa.string())), batch.column(1), batch.column(2)], ["bins", "features", "quality", "toxic"])
 
     joined = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", F.col("quality").cast("int"), F.col("toxic").cast("int"))
-    # Rows of one id may repeat, so the bound is asked for once more.
-    return joined.limit(size).mapInArrow(run, "bins array<int>, words array<string>, quality int, toxic int")
+    return joined.mapInArrow(run, "bins array<int>, features array<string>, quality int, toxic int")
 
 
 def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 25) -> np.ndarray:
@@ -129,30 +128,44 @@ def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 25) ->
     return w
 
 
-def train(rows: list) -> Model:
-    """Rows of (bins, words, quality, toxic)."""
+def telling(sample: DataFrame) -> list[str]:
+    """The features whose document counts lie farthest from chance, WORDS per label at most; counted by Spark."""
+    total = sample.agg(F.count(F.lit(1)).alias("n"), *[F.avg(x).alias(x) for x in LABELS]).first()
+    if not total["n"]:
+        return []
+    counts, _ = stash(sample.select(F.explode("features").alias("feature"), *LABELS).groupBy("feature").agg(F.count(F.lit(1)).alias("n"), *[F.sum(x).alias(x) for x in LABELS]).where("n >= 3"), "features")
+    chosen: set[str] = set()
+    for x in LABELS:
+        far = F.abs(F.col(x) - F.col("n") * total[x]) / F.sqrt(F.col("n") * (total[x] * (1 - total[x])) + 0.5)
+        chosen.update(r["feature"] for r in counts.select("feature", far.alias("far")).where(F.col("far") >= DEVIATIONS).orderBy(F.desc("far"), "feature").limit(WORDS).collect())
+    return sorted(chosen)
+
+
+def fit(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> Model:
+    """Fit both labels; what reaches the driver is one short row of feature numbers per sampled document."""
+    sample, path = stash(labelled_sample(docs, labels, size), "labelled")
+    names = telling(sample)
+    place = {w: _STYLE * _BINS + k for k, w in enumerate(names)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [sorted([*bins, *(place[w] for w in words if w in place)]) for bins, words in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.int32())), batch.column(2), batch.column(3)], ["on", *LABELS])
+
+    # Rows of one id may repeat, so the bound is asked for once more.
+    rows = sample.limit(size).mapInArrow(run, "on array<int>, quality int, toxic int").toArrow().to_pydict()
+    discard(docs.sparkSession, path)
+    rows = sorted(zip(rows["on"], rows["quality"], rows["toxic"], strict=True))
     if not rows:
         return Model([0.0, 0.0], {}, np.zeros((2, _STYLE * _BINS)))
-    rows = [(r[0], features(r[1]), r[2], r[3]) for r in rows]
-    y = np.array([[r[2], r[3]] for r in rows], float)
-    seen = Counter(w for r in rows for w in r[1])
-    chosen: set[str] = set()
-    for k in range(2):
-        rate, with_label = y[:, k].mean(), Counter(w for r, v in zip(rows, y[:, k], strict=True) if v for w in r[1])
-        far = {w: abs(with_label[w] - n * rate) / math.sqrt(n * rate * (1 - rate) + 0.5) for w, n in seen.items() if n >= 3}
-        chosen.update(w for w, z in sorted(far.items(), key=lambda x: (-x[1], x[0]))[:WORDS] if z >= DEVIATIONS)
-    place = {w: k for k, w in enumerate(sorted(chosen))}
+    y = np.array([r[1:] for r in rows], float)
     x = np.zeros((len(rows), _STYLE * _BINS + len(place) + 1))
     x[:, -1] = 1
     for i, r in enumerate(rows):
         x[i, r[0]] = 1
-        x[i, [_STYLE * _BINS + place[w] for w in r[1] if w in place]] = 1
-    w = np.stack([_fit(x, y[:, k]) if 0 < y[:, k].mean() < 1 else np.eye(1, x.shape[1], x.shape[1] - 1)[0] * (4 * y[:, k].mean() - 2) for k in range(2)])
-    return Model(w[:, -1].tolist(), {t: tuple(w[:, _STYLE * _BINS + k]) for t, k in place.items()}, w[:, : _STYLE * _BINS])
-
-
-def fit(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> Model:
-    return train(sorted(map(tuple, labelled_sample(docs, labels, size).collect())))
+    constant = np.eye(1, x.shape[1], x.shape[1] - 1)[0]
+    w = np.stack([_fit(x, y[:, k]) if 0 < y[:, k].mean() < 1 else constant * (4 * y[:, k].mean() - 2) for k in range(2)])
+    return Model(w[:, -1].tolist(), {t: tuple(w[:, k].tolist()) for t, k in place.items()}, w[:, : _STYLE * _BINS])
 
 
 def with_evidence(docs: DataFrame, model: Model, into: str) -> DataFrame:
