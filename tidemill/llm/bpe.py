@@ -78,7 +78,7 @@ def words(text: str) -> list[str]:
         return _ASCII_WORD.findall(text.lower())
     # Lower case goes by single characters; only the capital sigma would look at its neighbours.
     low = unicodedata.normalize("NFC", text).replace("\u03a3", "\u03c3").lower()
-    if not _NUMERAL.search(low) and low.replace("\n", "").isprintable():
+    if low.replace("\n", "").isprintable() and not _NUMERAL.search(low):
         return _PLAIN_WORD.findall(low)
     return [low[m.start() : m.end()] for m in _ASCII_WORD.finditer(low.translate(_KINDS))]
 
@@ -98,42 +98,6 @@ def chunks(text: str) -> list[str]:
     return [c for c in _GAP.split(text) if c] if _ODD.search(text) else text.split()
 
 
-class _Kinds(dict):
-    """Stand-ins of one ASCII character for others of their kind: a letter, a number, white space, anything else."""
-
-    def __missing__(self, code: int) -> str:
-        c = chr(code)
-        kind = c if code < 128 else "a" if _LETTER.match(c) else "0" if _NUMBER.match(c) else " " if _GAP.match(c) else "!"
-        self[code] = kind
-        return kind
-
-
-_KINDS = _Kinds()
-
-
-def byte_symbols() -> list[str]:
-    """The printable character that stands for each byte in byte-level vocabularies."""
-    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
-    out, extra = [], 256
-    for b in range(256):
-        out.append(chr(b if b in plain else extra))
-        extra += b not in plain
-    return out
-
-
-def chunks(text: str) -> list[str]:
-    """The text between white space; no word crosses it."""
-    return [c for c in _GAP.split(text) if c] if _ODD.search(text) else text.split()
-
-
-def words(chunk: str) -> list[str]:
-    """A chunk as the words to be merged: composed, lower case, split by kind of character."""
-    if chunk.isascii():
-        return _ASCII_WORD.findall(chunk.lower())
-    low = "".join(map(str.lower, unicodedata.normalize("NFC", chunk)))  # each character by itself
-    return [low[m.start() : m.end()] for m in _ASCII_WORD.finditer(low.translate(_KINDS))]
-
-
 _NO_RANK = 1 << 30
 
 
@@ -358,16 +322,19 @@ class Encoder(dict):
         return out
 
     def learn(self, unseen: list[str]) -> None:
-        """Look up the ids of chunks not seen before."""
+        """Look up the ids of chunks not seen before. A word is a chunk as well, so words seen before are known too."""
         found = words("\n".join(unseen))
-        ids = self.merged([w for w in dict.fromkeys(found) if w != "\n"])
+        distinct = dict.fromkeys(found)
+        distinct.pop("\n", None)
+        ids = self.merged([w for w in distinct if w not in self])
+        self.update(ids)
         of, own = iter(unseen), []
         for w in found:
             if w == "\n":
                 self[next(of)] = own[0] if len(own) == 1 else b"".join(own)
                 own = []
             else:
-                own.append(ids[w])
+                own.append(self[w])
         for c in of:
             self[c] = b"".join(own)
 
@@ -384,7 +351,11 @@ class Encoder(dict):
             if len(self) > CACHE_WORDS:
                 self.clear()
             if unseen := list({c for own in lists for x in own if not isinstance(x, str) for c in x}.difference(self)):
-                self.learn(unseen)
+                # Few chunks hold characters that need the longer way; they don't slow the others.
+                plain = [c for c in unseen if c.isprintable() and (c.isascii() or not _NUMERAL.search(c))]
+                for part in (plain, list(set(unseen).difference(plain)) if len(plain) < len(unseen) else []):
+                    if part:
+                        self.learn(part)
             get = self.__getitem__
             out += [b"".join([struct.pack("<I", named[x]) if isinstance(x, str) else b"".join(map(get, x)) for x in own]) for own in lists]
             a = b
