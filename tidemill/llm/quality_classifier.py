@@ -37,6 +37,8 @@ SAMPLE = 6_000
 WORDS, DEVIATIONS = 200, 5.0
 MAX_SHIFT = 1.0
 BROADCAST_ROWS = 100_000
+#: Rounding of sums must not reject what is exactly even.
+_SLACK = 1e-9
 LABELS = ("quality", "toxic")
 _STYLE = 7
 _BINS = 8
@@ -226,7 +228,7 @@ def posteriors(scored: DataFrame, evidence: str, host: str, path: str) -> DataFr
         shift = F.greatest(F.least(odds(rate) - odds(site[f"w_{x}"]), F.lit(MAX_SHIFT)), F.lit(-MAX_SHIFT))
         out.append(_p(e[x] + shift).alias(x))
     df = df.withColumn(post, F.struct(*out)).drop(h, p, s)
-    return df.withColumn(post, F.struct(F.col(post)["quality"].alias("p_quality"), F.col(post)["toxic"].alias("p_toxic"), ((F.col(post)["quality"] >= 0.5) & (F.col(post)["toxic"] < 0.5)).alias("kept"))), post
+    return df.withColumn(post, F.struct(F.col(post)["quality"].alias("p_quality"), F.col(post)["toxic"].alias("p_toxic"), ((F.col(post)["quality"] >= 0.5 - _SLACK) & (F.col(post)["toxic"] <= 0.5 + _SLACK)).alias("kept"))), post
 
 
 def report(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang") -> DataFrame:
