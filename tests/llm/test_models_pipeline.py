@@ -1,0 +1,130 @@
+import random
+import zlib
+
+import numpy as np
+import pytest
+
+import corpus_pipeline
+from tidemill.llm import jaccard, language_id, packing, quality_classifier, quality_rules, secrets
+from tidemill.llm.common import scratch_path, table
+
+
+def test_backpropagation_equals_differences():
+    rng = np.random.default_rng(0)
+    net = language_id.Network(["a", "b", "c"])
+    net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    codes, target = rng.integers(97, 105, (6, 4)).astype(np.uint8), np.array([0, 1, 2, 1])
+
+    def loss():
+        prob, _ = net.positions(codes)
+        return -np.log(prob[:, np.arange(4), target]).mean()
+
+    g = net.gradients(codes, target)
+    for k, at in (("out", (3, 1)), ("bias", (2,)), ("fu", (2, 5)), ("fu", (1, 20)), ("bu", (0, 9)), ("fx", (int(codes[2, 1]), 3)), ("bx", (int(codes[0, 0]), 18))):
+        old, e = net.p[k][at], 1e-3
+        net.p[k][at] = old + e
+        up = loss()
+        net.p[k][at] = old - e
+        down = loss()
+        net.p[k][at] = old
+        assert abs((up - down) / (2 * e) - g[k][at]) < 2e-3 + 0.02 * abs(g[k][at]), k
+
+
+def languages(n):
+    rng = random.Random(5)
+    parts = {"xx": ["ka", "lo", "mi", "tak"], "yy": ["sch", "ung", "ein", "ü"], "zz": ["eau", "è", "que", "tion"]}
+    return [(k, " ".join("".join(rng.choices(parts[x], k=3)) for _ in range(30)), x) for k in range(n) for x in [rng.choice(list(parts))]]
+
+
+def test_language_accuracy_on_held_out(spark):
+    rows = languages(500)
+    docs = spark.createDataFrame([*rows, (900, None, "xx"), (901, "123 !!", "xx"), (902, rows[0][1], None), (903, rows[0][1] * 200, "xx")], "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r for r in language_id.identify(docs, language_id.fit(docs)).collect()}
+    assert len(got) == 504
+    held = [k for k, *_ in rows if zlib.crc32(str(k).encode()) % 5 == 0]
+    assert all(got[k]["held_out"] == (zlib.crc32(str(k).encode()) % 5 == 0) for k in got)
+    assert np.mean([got[k]["lang_pred"] == rows[k][2] for k in held]) >= 0.97
+    assert (got[900]["lang_pred"], got[900]["score"], got[901]["lang_pred"]) == ("und", 0.0, "und") and got[902]["lang_pred"] == got[903]["lang_pred"] == rows[0][2]
+    assert all(0 <= r["score"] <= 1 for r in got.values())
+
+
+def test_language_without_labels(spark):
+    docs = spark.createDataFrame([(1, "some text", None)], "doc_id long, text string, lang string")
+    assert language_id.identify(docs, language_id.fit(docs)).first()["lang_pred"] == "und"
+    assert language_id.identify(docs.limit(0), language_id.fit(docs.limit(0))).count() == 0
+
+
+def labelled(n=400):
+    rng = random.Random(2)
+    words, docs, labels = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(300)], [], []
+    for k in range(n):
+        bad, rude = rng.random() < 0.2, rng.random() < 0.2
+        text = rng.choices(words, k=80)
+        if rude:
+            text[5:8] = ["nasty", "vile", "grrrish"]
+        text = " ".join(f"{w}***" if bad else w for w in text)
+        docs.append((k, text, f"s{k % 4}" if k % 9 else None, "en", "extra"))
+        labels.append((k, int(not bad), int(rude)))
+    return docs, labels
+
+
+def test_classifier(spark):
+    rows, marks = labelled()
+    docs = spark.createDataFrame([*rows, (1000, None, "s1", "en", ""), (1001, "", None, None, "")], "doc_id long, text string, source string, lang string, kept string")
+    labels = spark.createDataFrame([*marks[:300], (None, 1, 0), (5, None, 1)], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r for r in quality_classifier.report(docs, labels).collect()}
+    assert len(got) == 402
+    wrong = [k for k, q, t in marks[300:] if got[k]["kept"] != (q == 1 and t == 0)]
+    assert len(wrong) <= 4
+    kept = quality_classifier.keep(docs, labels)
+    assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {k for k, r in got.items() if r["kept"]}
+    none = quality_classifier.report(docs, labels.limit(0)).collect()
+    assert all(r["kept"] and abs(r["p_quality"] - 0.5) < 1e-9 for r in none)
+    assert quality_classifier.report(docs.limit(0), labels).count() == 0
+
+
+def test_sparse_sites_stay_near_the_prior(spark):
+    rows = [("good", "p", 4.0)] * 300 + [("bad", "p", -4.0)] * 300 + [("tiny", "p", -4.0)]
+    scored = spark.createDataFrame([(k, h, p, (v, -4.0)) for k, (h, p, v) in enumerate(rows)], "doc_id long, host string, path string, e struct<quality:double,toxic:double>")
+    m = {r["host"]: r["m_quality"] for r in quality_classifier.site_rates(scored, "e", "host", "path").collect()}
+    assert m["good"] > 0.9 and m["bad"] < 0.1 and m["bad"] + 0.1 < m["tiny"] < 0.5
+
+
+@pytest.fixture(scope="module")
+def small(spark):
+    rng = random.Random(8)
+    words = [f"v{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(500)]
+    rows = [[k, " ".join(rng.choices(words, k=90)), "en", f"s{k % 3}", 0] for k in range(60)]
+    rows[7][1] = rows[3][1]
+    rows[8][1] = rows[3][1] + " tail"
+    rows[9][1] = rows[9][1] + " password=hunter2hunter2"
+    rows[10][1], rows[11][1], rows[12][1] = "too short", None, "same " * 200
+    path = scratch_path(spark, "sf")
+    spark.createDataFrame([(r[0], r[1], r[2], r[3], len(r[1] or "")) for r in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    return path
+
+
+def test_stages_take_effect(spark, small):
+    docs = table(spark, small, "documents")
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality rules", "quality classifier", "n-gram Jaccard join", "secret scans", "packing"]
+    seen, names = docs, docs.columns
+    ids = []
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        path = scratch_path(spark, "stage")
+        stage(spark, seen, small).write.parquet(path)
+        seen = spark.read.parquet(path)
+        assert seen.columns == names, name
+        ids.append({r["doc_id"] for r in seen.collect()})
+    all_ids = set(range(60))
+    assert ids[0] == all_ids - {10, 11, 12} and ids[1] == ids[0] and ids[2] == ids[1] - {7, 8} and ids[3] == ids[2]
+    assert "[ASSIGN]" in seen.where("doc_id = 9").first()["text"]
+    pieces = corpus_pipeline.run(spark, small).collect()
+    assert {r["doc_id"] for r in pieces} == ids[3]
+    assert sum(r["length"] for r in pieces) == sum({r["doc_id"]: r["doc_tokens"] for r in pieces}.values())
+
+
+def test_pipeline_of_nothing(spark, small):
+    docs = table(spark, small, "documents").limit(0)
+    assert quality_rules.keep(docs).count() == jaccard.keep_one(docs).count() == secrets.redact(docs).count() == 0
+    assert packing.pack(docs, __import__("tidemill.llm.bpe", fromlist=["bpe"]).plain_codec(spark, corpus_pipeline.WORD_BPE)).count() == 0
