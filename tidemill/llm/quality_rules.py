@@ -28,7 +28,7 @@ FENCE = 6.0
 #: Rows of the table of limits that may be broadcast.
 BROADCAST_ROWS = 100_000
 #: measure -> least slack above the upper quartile.
-UPPER = {"symbol_ratio": 0.15, "dup_line_ratio": 0.25, "repeat_ratio": 0.20, "mean_chars": 3.0}
+UPPER = {"symbol_ratio": 0.15, "dup_line_ratio": 0.45, "repeat_ratio": 0.35, "mean_chars": 3.0}
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
