@@ -12,7 +12,16 @@ from pyspark.sql import functions as F
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 
 
+#: Bytes of an Arrow batch that goes to a Python worker; the row count alone would not bound batches of long texts.
+BATCH_BYTES = 16 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -46,6 +55,7 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 def stash(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     """Write df as Parquet to the shared folder and read it back: later reads don't depend on the executors that made it."""
     spark, path = df.sparkSession, scratch_path(df.sparkSession, label)
+    bound_batches(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 

@@ -6,9 +6,10 @@
    links join classes into groups of similar documents; a large group is split into blocks of at most BLOCK members.
 3. What the stars can't show is searched exactly. Two sets that reach the threshold share one of the first
    n - ceil(t n) + 1 tokens of either, in any order that is common to all documents. The order puts tokens found often in
-   the samples last. The matrix holds, for each such token, the groups in whose members' prefixes it occurs; group pairs that
-   meet there and whose sizes fit are bounded: a member of one must find ceil(t n) of its tokens in the other's token union.
-   Only qualifying groups are opened and their members compared, until the two groups are known to be linked.
+   the samples last. The matrix holds, for each such token, the groups in whose members' prefixes it occurs, with their
+   members' sizes. A set that meets another group there is bounded twice: by the prefix tokens it shares with the group plus
+   what can lie behind the prefixes, and by the tokens that it finds in the group's whole token union. Only qualifying
+   groups are opened and their members compared, until one is found that the set is linked to.
 
 The result is exact for components: every pair over the threshold is either inside one group or compared.
 
@@ -28,12 +29,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, maybe_broadcast, small, stash
+from .common import discard, fresh, maybe_broadcast, small, stash
 from .components import components
 
 BANDS, ROWS = 8, 3
 #: Members of one block of a group.
-BLOCK = 256
+BLOCK = 64
 #: A token in more samples than this goes last in the common order.
 OFTEN = 24
 #: Often-found tokens that tasks are told of (8 bytes each); with more, the bound OFTEN is raised, which costs time only.
@@ -74,7 +75,8 @@ def tokens(text: str | None, n: int) -> np.ndarray:
     k = min(n, len(words))
     out = np.full(len(h) - k + 1, k, np.uint64)
     for i in range(k):
-        out = _mix(out + h[i : len(h) - k + 1 + i] * _ODD[i])
+        out += h[i : len(h) - k + 1 + i] * _ODD[i]
+    out = _mix(out)
     out.sort()
     return out[np.concatenate(([True], out[1:] != out[:-1]))]
 
@@ -84,12 +86,16 @@ def _need(n, percent: int):
     return -(-n * percent // 100)
 
 
+_EDGES = np.array([k * ((1 << 64) // (BANDS * ROWS)) for k in range(BANDS * ROWS)], np.uint64)
+
+
 def _bands(t: np.ndarray) -> np.ndarray:
-    low = np.array([_mix(t * _ODD[16 + k]).min() for k in range(BANDS * ROWS)], np.uint64).reshape(BANDS, ROWS)
-    out = low[:, 0]
+    """One min-hash for each of BANDS * ROWS ranges of hashes (the next token upwards, around the end), ROWS to a band."""
+    low = t[np.searchsorted(t, _EDGES) % len(t)].reshape(BANDS, ROWS)
+    out = low[:, 0] * _ODD[0]
     for k in range(1, ROWS):
-        out = _mix(out * _ODD[k] + low[:, k])
-    return out.view(np.int64)
+        out += low[:, k] * _ODD[k]
+    return _mix(out).view(np.int64)
 
 
 def sketches(docs: DataFrame, n: int, percent: int) -> DataFrame:
@@ -106,7 +112,7 @@ def sketches(docs: DataFrame, n: int, percent: int) -> DataFrame:
                         rows.append((0, 0, 0, [], []))
                         continue
                     p = len(t) - _need(len(t), percent) + 1
-                    s = np.array([t.sum(dtype=np.uint64), np.bitwise_xor.reduce(_mix(t + _ODD[3]))], np.uint64).view(np.int64)
+                    s = np.frombuffer(xxhash.xxh3_128_digest(t), np.int64)
                     # Only sets that another size can reach need links besides equality.
                     near = len(t) - 1 >= _need(len(t), percent) or 100 * len(t) >= percent * (len(t) + 1)
                     rows.append((len(t), int(s[0]), int(s[1]), _bands(t) if near else [], t[: p + p // 2 + 4].view(np.int64) if near else []))
@@ -151,8 +157,7 @@ def star_links(classes: DataFrame, docs: DataFrame, n: int, percent: int) -> Dat
     pairs, _ = stash(spread.join(centres, ["band", "value"]).where("id <> v").select(F.col("id").alias("u"), "v").distinct(), "star-pairs")
     ids = pairs.select(F.col("u").alias("id")).union(pairs.select(F.col("v").alias("id"))).distinct()
     ids, _ = stash(ids, "star-ids")
-    sets, _ = stash(_token_sets(docs, ids, n), "star-sets")
-    sets = sets.dropDuplicates(["id"])
+    sets, sets_path = stash(_token_sets(docs, ids, n), "star-sets")
 
     @F.pandas_udf("boolean")
     def fits(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -160,7 +165,9 @@ def star_links(classes: DataFrame, docs: DataFrame, n: int, percent: int) -> Dat
 
     one = sets.select(F.col("id").alias("u"), F.col("set").alias("a"))
     other = sets.select(F.col("id").alias("v"), F.col("set").alias("b"))
-    return pairs.join(one, "u").join(other, "v").where(fits("a", "b")).select("u", "v")
+    links, _ = stash(pairs.join(one, "u").join(other, "v").where(fits("a", "b")).select("u", "v").distinct(), "star-links")
+    discard(docs.sparkSession, sets_path)
+    return links
 
 
 def _often(classes: DataFrame) -> np.ndarray:
@@ -212,48 +219,53 @@ def matrix_links(classes: DataFrame, grouped: DataFrame, docs: DataFrame, n: int
     # A class is looked up by its smallest doc_id; the other documents of its set, and sets that reach no other, are left out.
     wanted = docs.select(F.col("doc_id").alias("id")).join(classes.where(F.size("bands") > 0).select("id", F.lit(True).alias("yes")), "id", "left").select("id", F.col("yes").isNotNull().alias("wanted"))
     wanted, _ = stash(wanted, "wanted")
-    first, _ = stash(prefixes(docs, wanted, _often(classes), n, percent), "prefixes")
-    rows = first.dropDuplicates(["id"]).join(groups, "id").select("cluster", "block", "n", F.explode("prefix").alias("token"))
-    matrix = rows.groupBy("token", "cluster", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    met = matrix.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.min("cluster").alias("x"), F.max("cluster").alias("y")).where("c > 1 AND x <> y").select("token")
-    matrix, _ = stash(matrix.join(met, "token", "left_semi"), "matrix")
-    a, b = matrix.alias("a"), matrix.alias("b")
-    sized = (F.col("a.high") * 100 >= F.col("b.low") * percent) & (F.col("b.high") * 100 >= F.col("a.low") * percent)
-    pairs = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.cluster") < F.col("b.cluster")) & sized)
-    pairs, _ = stash(pairs.select(F.col("a.cluster").alias("c1"), F.col("a.block").alias("b1"), F.col("b.cluster").alias("c2"), F.col("b.block").alias("b2")).distinct(), "group-pairs")
-    met = pairs.select(F.col("c1").alias("cluster"), F.col("b1").alias("block")).union(pairs.select(F.col("c2").alias("cluster"), F.col("b2").alias("block"))).distinct()
-    ids, _ = stash(groups.join(met, ["cluster", "block"], "left_semi").select("id"), "group-ids")
-    sets = _token_sets(docs, ids, n).dropDuplicates(["id"]).join(groups, "id")
-    blocks, _ = stash(sets.groupBy("cluster", "block").agg(F.collect_list(F.struct("id", "set")).alias("members")), "blocks")
-    one = blocks.select(F.col("cluster").alias("c1"), F.col("block").alias("b1"), F.col("members").alias("left"))
-    other = blocks.select(F.col("cluster").alias("c2"), F.col("block").alias("b2"), F.col("members").alias("right"))
-    opened = pairs.join(one, ["c1", "b1"]).join(other, ["c2", "b2"]).select("left", "right")
+    first, first_path = stash(prefixes(docs, wanted, _often(classes), n, percent), "prefixes")
+    rest = F.col("n") - F.size("prefix")
+    rows = first.join(groups, "id").select("id", "cluster", "block", "n", rest.alias("rest"), F.explode("prefix").alias("token"))
+    cells = rows.groupBy("token", "cluster", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("rest").alias("most"))
+    met = cells.groupBy("token").agg(F.min("cluster").alias("x"), F.max("cluster").alias("y")).where("x <> y").select("token")
+    met, met_path = stash(met, "tokens-met")
+    matrix, matrix_path = stash(cells.join(met, "token", "left_semi"), "matrix")
+    asked, asked_path = stash(rows.join(met, "token", "left_semi"), "asked")
+    q, g = asked.alias("q"), matrix.alias("g")
+    sized = (F.col("g.high") * 100 >= F.col("q.n") * percent) & (F.col("q.n") * 100 >= F.col("g.low") * percent)
+    met = q.join(g, (F.col("q.token") == F.col("g.token")) & (F.col("q.cluster") < F.col("g.cluster")) & sized)
+    # Tokens in common: those that both prefixes hold, and at most what lies behind the prefix that ends first.
+    least = F.ceil((F.col("n") + F.col("low")) * F.lit(percent) / F.lit(100 + percent) - 1e-9)
+    pairs = met.groupBy(F.col("q.id").alias("id"), F.col("g.cluster").alias("c2"), F.col("g.block").alias("b2")).agg(F.count(F.lit(1)).alias("shared"), F.first("q.n").alias("n"), F.first("q.rest").alias("rest"), F.min("g.low").alias("low"), F.max("g.most").alias("most"))
+    pairs, _ = stash(pairs.where(F.col("shared") + F.greatest("rest", "most") >= least).select("id", "c2", "b2"), "group-pairs")
+    for path in (first_path, met_path, matrix_path, asked_path):
+        discard(docs.sparkSession, path)
+    opened = pairs.select(F.col("c2").alias("cluster"), F.col("b2").alias("block")).distinct()
+    members, _ = stash(groups.join(opened, ["cluster", "block"], "left_semi"), "members")
+    ids, _ = stash(members.select("id").union(pairs.select("id")).distinct(), "group-ids")
+    sets, sets_path = stash(_token_sets(docs, ids, n).select("id", "set"), "group-sets")
+    blocks = sets.join(members, "id").groupBy(F.col("cluster").alias("c2"), F.col("block").alias("b2")).agg(F.collect_list("set").alias("right"), F.collect_list("id").alias("ids"))
+    work = pairs.join(sets.withColumnRenamed("set", "left"), "id").join(blocks, ["c2", "b2"]).select("id", "left", "ids", "right")
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             us, vs = [], []
             for k in range(batch.num_rows):
-                left, right = ([(m["id"], np.frombuffer(m["set"], np.uint64)) for m in side[k].as_py()] for side in (batch.column(0), batch.column(1)))
-                if link := _open(left, right, percent):
-                    us.append(link[0])
-                    vs.append(link[1])
-            yield pa.RecordBatch.from_arrays([pa.array(us, batch.schema.field(0).type.value_type.field("id").type), pa.array(vs, batch.schema.field(0).type.value_type.field("id").type)], ["u", "v"])
+                u, left, ids, right = (c[k].as_py() for c in batch.columns)
+                v = _open(np.frombuffer(left, np.uint64), [np.frombuffer(x, np.uint64) for x in right], percent)
+                if v >= 0:
+                    us.append(u)
+                    vs.append(ids[v])
+            yield pa.RecordBatch.from_arrays([pa.array(us, batch.schema.field(0).type), pa.array(vs, batch.schema.field(0).type)], ["u", "v"])
 
-    return opened.mapInArrow(run, f"u {kind}, v {kind}")
+    links, _ = stash(work.mapInArrow(run, f"u {kind}, v {kind}"), "matrix-links")
+    discard(docs.sparkSession, sets_path)
+    return links
 
 
-def _open(left: list, right: list, percent: int):
-    """The first link between two blocks, None without one. A member is compared only where the other side's token union
-    holds enough of its tokens."""
-    if len(left) * len(right) > 1:
-        union = np.unique(np.concatenate([s for _, s in right]))
-        left = [(i, s) for i, s in left if _overlap(s, union) >= _need(len(s), percent)]
-        if not left:
-            return None
-        union = np.unique(np.concatenate([s for _, s in left]))
-        right = [(i, s) for i, s in right if _overlap(s, union) >= _need(len(s), percent)]
-    return next(((i, j) for i, s in left for j, t in right if _fits(s, t, percent)), None)
+def _open(left: np.ndarray, right: list[np.ndarray], percent: int) -> int:
+    """The first member of a group that a set is linked to, -1 without one: one link is enough, as a group is one component.
+    Members are compared only where the group's token union holds enough of the set's tokens."""
+    if len(right) > 1 and _overlap(left, np.unique(np.concatenate(right))) < _need(len(left), percent):
+        return -1
+    return next((k for k, s in enumerate(right) if _fits(left, s, percent)), -1)
 
 
 def join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -266,9 +278,9 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     reps, _ = stash(reps, "classes")
     mine = filled.where(F.size("bands") > 0).select(*keys, F.col("doc_id").alias("id"), "bands", "sample")
     classes, _ = stash(mine.join(reps.select("id", *keys), ["id", *keys], "left_semi").dropDuplicates(["id", *keys]), "class-sketches")
-    stars, _ = stash(star_links(classes, docs, n, percent), "star-links")
+    stars = star_links(classes, docs, n, percent)
     grouped, _ = stash(components(stars), "star-groups")
-    more, _ = stash(matrix_links(classes, grouped, docs, n, percent), "matrix-links")
+    more = matrix_links(classes, grouped, docs, n, percent)
     joined, _ = stash(components(stars.unionByName(more)) if more.limit(1).count() else grouped, "groups-joined")
     labelled = reps.join(joined, "id", "left").select(*keys, "n_class", F.coalesce("component", "id").alias("component_id"))
     labelled, _ = stash(labelled, "labels")
