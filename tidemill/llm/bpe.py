@@ -36,6 +36,8 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import discard, stash
+
 LEXICON_WORDS = 32_768
 CACHE_WORDS = 500_000
 #: Longer words are neither counted nor remembered.
@@ -370,7 +372,9 @@ class Encoder(dict):
 
 
 def frequent_words(docs: DataFrame, limit: int = LEXICON_WORDS) -> list[str]:
-    """The most frequent words of all texts, ties by the word itself. Tasks pass on counts, not words."""
+    """The most frequent words of all texts, at most limit of them: all whose counts reach a bound that leaves no more.
+
+    The bound comes from the numbers of words by size of count, so no task sends the driver candidates of its own."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
@@ -395,8 +399,16 @@ def frequent_words(docs: DataFrame, limit: int = LEXICON_WORDS) -> list[str]:
                         yield flush()
         yield flush()
 
-    counts = docs.select("text").mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    return [r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(limit).collect()]
+    counts, path = stash(docs.select("text").mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1").withColumn("size", F.floor(16 * F.log2("n"))), "words")
+    least, held = None, 0
+    for r in counts.groupBy("size").agg(F.count(F.lit(1)).alias("c")).orderBy(F.desc("size")).collect():
+        held += r["c"]
+        if held > limit:
+            break
+        least = r["size"]
+    found = [] if least is None else sorted(r["word"] for r in counts.where(F.col("size") >= least).select("word").collect())
+    discard(docs.sparkSession, path)
+    return found
 
 
 class Sent(NamedTuple):
