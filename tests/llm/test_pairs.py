@@ -69,7 +69,6 @@ def corpus(seed, n_docs=150):
 @pytest.mark.parametrize("n,percent,often", [(3, 90, 24), (5, 80, 24), (3, 90, 2), (2, 60, 3)])
 def test_jaccard_equals_brute_force(spark, monkeypatch, n, percent, often):
     monkeypatch.setattr(jaccard, "OFTEN", often)
-    monkeypatch.setattr(jaccard, "BLOCK", 8)
     texts = corpus(n + percent)
     docs = spark.createDataFrame([(k, t, 1, 2) for k, t in enumerate(texts)], "doc_id long, text string, id long, component long").repartition(5)
     sets, want = brute(texts, n, percent)
@@ -78,22 +77,57 @@ def test_jaccard_equals_brute_force(spark, monkeypatch, n, percent, often):
     assert {k: got[k]["component_id"] for k in got} == dict(enumerate(want))
 
 
-def test_jaccard_without_stars_is_exact_too(spark, monkeypatch):
-    """The matrix alone finds every group that the stars would have shown."""
-    monkeypatch.setattr(jaccard, "star_links", lambda classes, docs, n, percent: spark.createDataFrame([], "u long, v long"))
+def test_jaccard_without_groups_is_exact_too(spark, monkeypatch):
+    """The matrix alone finds every pair that groups would have shown."""
+    monkeypatch.setattr(jaccard, "families", lambda narrow: spark.createDataFrame([], "id long, family long, m long"))
     texts = corpus(3, 80)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert {r["doc_id"]: r["component_id"] for r in jaccard.join(docs, 3, 80).collect()} == dict(enumerate(brute(texts, 3, 80)[1]))
 
 
+@pytest.mark.parametrize("n,percent", [(3, 90), (5, 80)])
+def test_jaccard_families_of_altered_copies(spark, n, percent):
+    """Copies of a few bases, most of them just off the threshold with the base, and copies of copies."""
+    rng = random.Random(n)
+    vocabulary = [f"w{i}" for i in range(2000)]
+    texts = []
+    for _ in range(3):
+        base = [rng.choice(vocabulary) for _ in range(100)]
+        family = [base]
+        for _ in range(70):
+            words = list(rng.choice(family))
+            for _ in range(rng.choice([1, 2, 2, 3, 3, 4])):
+                words[rng.randrange(len(words))] = rng.choice(vocabulary)
+            if rng.random() < 0.3:
+                del words[rng.randrange(len(words)) :][:3]
+            family.append(words if len(words) > 60 else base)
+        texts += [" ".join(w) for w in family]
+    rng.shuffle(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = brute(texts, n, percent)[1]
+    assert 3 < len(set(want)) < len(texts)
+    assert {r["doc_id"]: r["component_id"] for r in jaccard.join(docs, n, percent).collect()} == dict(enumerate(want))
+
+
 def test_keep_one(spark):
     long = " ".join(f"w{i}" for i in range(100))
-    rows = [(4, long), (2, long.upper()), (3, long + " more"), (9, None), (8, None), (2, long.upper()), (None, "null id")]
+    other = " ".join(f"v{i}" for i in range(50))
+    rows = [(4, long), (2, long.upper()), (3, long + " more"), (9, None), (8, None), (2, long.upper()), (None, "null id"), (8, ""), (2, other), (7, other), (8, "x y z"), (1, "x y z q")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    assert sorted(r["doc_id"] or -1 for r in jaccard.keep_one(docs).collect()) == [-1, 2, 8, 9]
+    got = jaccard.keep_one(docs).collect()
+    assert sorted(((r["doc_id"] or -1), (r["text"] or "").lower()) for r in got) == sorted([(-1, "null id"), (1, "x y z q"), (2, long), (2, other), (8, ""), (8, "x y z"), (9, "")])
     assert jaccard.keep_one(docs.limit(0)).count() == 0 and jaccard.join(docs.limit(0)).count() == 0
 
 
+def test_jaccard_rows_that_share_an_id(spark):
+    """Each row's own text counts; class numbers that clash are told apart."""
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [(5, long), (5, "a b c d e f"), (6, long + " z"), (7, "a b c d e f"), (None, long), (5, long)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r["doc_id"] or -1), r["n_shingles"], r["component_id"]) for r in jaccard.join(docs, 3, 90).collect())
+    assert got == [(-1, 58, None), (5, 4, 5), (5, 58, 5), (5, 58, 5), (6, 59, 5), (7, 4, 5)]
+
+
 def vectors(seed, n=600, d=24):
     rng = np.random.default_rng(seed)
     centres = rng.normal(size=(30, d))
