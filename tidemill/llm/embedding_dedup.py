@@ -1,17 +1,19 @@
 """Embedding near-duplicates by cross-polytope hashing.
 
-Vectors with equal bytes become one class. A class's direction is rotated by three rounds of random signs and a fast Hadamard
+Vectors of equal numbers become one class. A class's direction is rotated by three rounds of random signs and a fast Hadamard
 transform; the nearest signed axis is its hash, and as many hashes are joined to a bucket as make buckets outnumber vectors
-(at least two). Every vector is filed under its own bucket in each of TABLES tables and looks up its PROBES best buckets
-there, the own one first and then those whose axes lose least. Pairs that meet are made distinct while they are narrow, and
-are verified with their vectors by cosine in double precision: no reported link is below the threshold.
-
-Links are found with high probability, not with certainty; tests hold the recall against brute force. Every verified pair of
-different vectors counts, as the number of links is part of the result; copies are counted, never expanded.
-
-Defined results: vectors that are null, zero, of another length than the others' most common one, or with null or non-finite
-components link with nothing and stand for themselves; an empty table gives an empty result; repeated rows are copies; null
-ids take no part in links; extra columns don't matter.
+(at least two). Every vector is filed under its own bucket in each table and looks up its PROBES best buckets there, the own one
+first and then those whose axes lose least. Pairs that meet are made distinct while they are narrow, and are verified with their
+vectors by cosine in double precision: no reported link is below the threshold.
+
+Links are found with high probability, not with certainty. More hashes to a bucket make a pair meet in fewer tables, so the
+number of tables follows: random pairs exactly at the threshold are hashed beforehand, and as many tables are taken as bring
+RECALL of them together, whatever the number and the width of the vectors. Every verified pair of different vectors counts, as
+the number of links is part of the result; copies are counted, never expanded.
+
+Defined results: vectors that are null, empty, zero, or with null or non-finite components link with nothing and stand for
+themselves; vectors of different lengths don't link; an empty table gives an empty result; repeated rows, and rows that share an
+id, are vectors of their own with the least id of their class; null ids take no part in links; extra columns don't matter.
 """
 
 from __future__ import annotations
@@ -26,10 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import discard, stash
+from .common import discard, stash, trimmed
 from .components import components
 
-TABLES, PROBES = 12, 10
+PROBES = 10
+#: The share of pairs at the threshold that the tables must bring together, and the random pairs that this is measured with.
+RECALL, TRIALS = 0.9995, 4000
 #: Axes of each hash that are tried when probing.
 NEAR = 4
 SEED = 20_240_229
@@ -52,11 +56,33 @@ def hashes_per_bucket(n: int, width: int) -> int:
     return max(2, math.ceil(math.log(max(n, 2)) / math.log(2 * width)))
 
 
-def buckets(x: np.ndarray, k: int, tables: int = TABLES, probes: int = PROBES) -> np.ndarray:
+def _met(x: np.ndarray, y: np.ndarray, k: int, tables: int, first: int = 0) -> np.ndarray:
+    """Whether one of each pair of rows looks up the other's bucket, rows x tables."""
+    a, b = buckets(x, k, tables, seed=SEED + first), buckets(y, k, tables, seed=SEED + first)
+    return (a == b[:, :, :1]).any(2) | (b == a[:, :, :1]).any(2)
+
+
+def tables_needed(k: int, width: int, least: float) -> int:
+    """How many tables bring RECALL of random pairs with a cosine of least together. The tables of the trial are other ones than
+    those that are used, and a pair's own chance of meeting varies, so the share is counted over pairs and not multiplied out."""
+    rng = np.random.default_rng(SEED + 1)
+    x, y = rng.normal(size=(2, TRIALS, width))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y -= (x * y).sum(1, keepdims=True) * x
+    y = least * x + math.sqrt(max(0.0, 1 - least * least)) * y / np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-300)
+    apart, tables = np.ones(TRIALS, bool), 0
+    while tables < 4 or apart.sum() > (1 - RECALL) * TRIALS:
+        x, y = x[apart], y[apart]
+        apart = ~_met(x, y, k, 1, 1000 + tables)[:, 0] if len(x) else np.zeros(0, bool)
+        tables += 1
+    return tables
+
+
+def buckets(x: np.ndarray, k: int, tables: int, probes: int = PROBES, seed: int = SEED) -> np.ndarray:
     """Bucket numbers, rows x tables x probes, the own bucket first."""
     width = 1 << max(1, (x.shape[1] - 1).bit_length())
     x = np.pad(x, ((0, 0), (0, width - x.shape[1])))
-    near, rng, out = min(NEAR, width), np.random.default_rng(SEED), []
+    near, rng, out = min(NEAR, width), np.random.default_rng(seed), []
     # The ways to choose one of the near axes of every hash, by how many steps they are from the best.
     steps = np.stack(np.meshgrid(*[np.arange(near)] * k, indexing="ij"), -1).reshape(-1, k)
     steps = steps[np.argsort(steps.sum(1), kind="stable")][: max(probes * 6, 1)]
@@ -77,36 +103,54 @@ def buckets(x: np.ndarray, k: int, tables: int = TABLES, probes: int = PROBES) -
     return np.stack(out, 1)
 
 
-def _filed(classes: DataFrame, k: int) -> DataFrame:
-    """(id, spot, own): a row per table and probe; spot joins table and bucket."""
+def _numbered(x: np.ndarray) -> np.ndarray:
+    """Rows scaled by powers of two, which changes no cosine but keeps squares finite."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True))[1])
+
+
+def _filed(classes: DataFrame, plan: dict[int, tuple[int, int]]) -> DataFrame:
+    """(id, width, spot, own): a row per table and probe; spot joins table and bucket. plan: width -> (hashes, tables)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a in range(0, batch.num_rows, 2000):
-                part = batch.slice(a, 2000)
-                x = np.array(part.column(1).to_pylist(), np.float64)
-                spots = buckets(x / np.linalg.norm(x, axis=1, keepdims=True), k)
-                n, tables, probes = spots.shape
-                spots = spots * tables + np.arange(tables)[None, :, None]
-                ids = part.column(0).take(pa.array(np.repeat(np.arange(n), tables * probes)))
-                own = np.tile(np.arange(probes) == 0, n * tables)
-                yield pa.RecordBatch.from_arrays([ids, pa.array(spots.reshape(-1)), pa.array(own)], ["id", "spot", "own"])
-
-    return classes.select("id", "embedding").mapInArrow(run, f"id {dict(classes.dtypes)['id']}, spot bigint, own boolean")
+            widths = np.array(batch.column(2))
+            for width in np.unique(widths):
+                k, tables = plan[int(width)]
+                rows = np.flatnonzero(widths == width)
+                for a in range(0, len(rows), step := max(1, 250_000 // (tables * PROBES))):
+                    part = batch.take(pa.array(rows[a : a + step]))
+                    x = _numbered(np.array(part.column(1).to_pylist(), np.float64))
+                    spots = buckets(x / np.linalg.norm(x, axis=1, keepdims=True), k, tables)
+                    n, _, probes = spots.shape
+                    spots = spots * tables + np.arange(tables)[None, :, None]
+                    ids = part.column(0).take(pa.array(np.repeat(np.arange(n), tables * probes)))
+                    own = np.tile(np.arange(probes) == 0, n * tables)
+                    yield pa.RecordBatch.from_arrays([ids, pa.array(np.full(spots.size, width, np.int32)), pa.array(spots.reshape(-1)), pa.array(own)], ["id", "width", "spot", "own"])
+
+    kind = dict(classes.dtypes)["id"]
+    return classes.select("id", "embedding", F.size("embedding").alias("width")).mapInArrow(trimmed(run), f"id {kind}, width int, spot bigint, own boolean")
 
 
 @F.pandas_udf(T.DoubleType())
 def cosine(a: pd.Series, b: pd.Series) -> pd.Series:
-    x, y = np.stack(a.to_list()).astype(np.float64), np.stack(b.to_list()).astype(np.float64)
-    return pd.Series((x * y).sum(1) / np.sqrt((x * x).sum(1) * (y * y).sum(1)))
+    """Of vectors in pairs of equal length; lengths may differ between pairs."""
+    sizes, out = a.map(len).to_numpy(), np.zeros(len(a))
+    for n in np.unique(sizes):
+        at = np.flatnonzero(sizes == n)
+        x, y = (_numbered(np.stack(s.iloc[at].to_list()).astype(np.float64)) for s in (a, b))
+        out[at] = (x * y).sum(1) / np.sqrt((x * x).sum(1) * (y * y).sum(1))
+    return pd.Series(out)
 
 
 def links(classes: DataFrame, least: float) -> DataFrame:
     """Verified pairs (u, v), u < v, of different classes."""
-    k = hashes_per_bucket(classes.count(), len((classes.select("embedding").first() or [[0.0]])[0]))
-    filed, path = stash(_filed(classes, k), "buckets")
-    own = filed.where("own").select("spot", F.col("id").alias("v"))
-    met = filed.select("spot", F.col("id").alias("u")).join(own, "spot").where("u <> v")
+    # One row per length that occurs.
+    sizes = {r["w"]: r["n"] for r in classes.groupBy(F.size("embedding").alias("w")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    hashes = {w: hashes_per_bucket(n, 1 << max(1, (w - 1).bit_length())) for w, n in sizes.items()}
+    plan = {w: (k, tables_needed(k, w, least)) for w, k in hashes.items()}
+    filed, path = stash(_filed(classes, plan), "buckets")
+    own = filed.where("own").select("width", "spot", F.col("id").alias("v"))
+    met = filed.select("width", "spot", F.col("id").alias("u")).join(own, ["width", "spot"]).where("u <> v")
     pairs, pairs_path = stash(met.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "candidates")
     discard(classes.sparkSession, path)
     one, other = classes.select(F.col("id").alias("u"), F.col("embedding").alias("a")), classes.select(F.col("id").alias("v"), F.col("embedding").alias("b"))
@@ -116,21 +160,25 @@ def links(classes: DataFrame, least: float) -> DataFrame:
 
 
 def join(vectors: DataFrame, least: float = 0.9) -> DataFrame:
-    """vec_id, n_links, component_id, kept, n_copies (vectors with the same bytes) per row."""
+    """vec_id, n_links, component_id, kept, n_copies (vectors of the same numbers) per row."""
     e = F.col("embedding")
     sound = e.isNotNull() & (F.size(e) > 0) & ~F.exists(e, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(e, lambda x: x != 0) & F.col("vec_id").isNotNull()
     rows = vectors.select("vec_id", "embedding", F.coalesce(sound, F.lit(False)).alias("sound"))
-    width = rows.where("sound").groupBy(F.size("embedding").alias("w")).count().orderBy(F.desc("count"), "w").first()
-    good = rows.where(F.col("sound") & (F.size("embedding") == (width["w"] if width else 0)))
     # -0.0 and 0.0 are one component; the array itself is the key, so classes are exact.
-    key = F.transform("embedding", lambda x: x + F.lit(0.0).cast("float"))
-    classes, _ = stash(good.groupBy(key.alias("embedding")).agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("copies")), "vectors")
+    key = F.when(F.col("sound"), F.transform("embedding", lambda x: x + F.lit(0.0).cast("float")))
+    classes, _ = stash(rows.where("sound").groupBy(key.alias("embedding")).agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "vectors")
+    # Classes are numbered by their least vec_id; rows that share an id make that ambiguous, and then a hash of the vector does.
+    clash = classes.groupBy("rep").agg(F.count(F.lit(1)).alias("c")).where("c > 1").limit(1).count()
+    classes = classes.withColumn("id", F.xxhash64("embedding") if clash else F.col("rep"))
     found = links(classes, least)
     both = found.unionByName(found.select(F.col("v").alias("u"), F.col("u").alias("v")))
     sizes = classes.select(F.col("id").alias("v"), F.col("copies").alias("c"))
     near = both.join(sizes, "v").groupBy(F.col("u").alias("id")).agg(F.sum("c").alias("near"))
-    told = classes.select("id", "copies").join(near, "id", "left").join(components(found), "id", "left")
-    told, _ = stash(told.select(F.col("id").alias("class_id"), "copies", (F.coalesce("near", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("component", "id").alias("component")), "told")
+    joined = components(found).join(classes.select("id", "rep"), "id")
+    least_id = joined.groupBy("component").agg(F.min("rep").alias("least_id"))
+    joined = joined.join(least_id, "component").select("id", "least_id")
+    told = classes.select("id", "rep", "copies").join(near, "id", "left").join(joined, "id", "left")
+    told, _ = stash(told.select(F.col("id").alias("class_id"), "copies", (F.coalesce("near", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("least_id", "rep").alias("component")), "told")
     named = classes.select(F.col("embedding").alias("k"), F.col("id").alias("class_id")).join(told, "class_id")
     out = rows.withColumn("k", key).join(named, "k", "left")
     component = F.coalesce("component", "vec_id")
