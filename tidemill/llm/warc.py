@@ -83,7 +83,7 @@ def candidates(spark: SparkSession, path: str) -> DataFrame:
     """Every occurrence of the magic: file, offset, its successor's offset by its own headers (null if they don't parse),
     the parsed fields, and the payload's digest where the piece is the whole record."""
     p = _pieces(spark, path)
-    p = p.withColumn("size", F.octet_length("piece").cast("long")).withColumn("cut", F.locate(END, F.decode(F.substring(F.col("piece"), F.lit(1), F.lit(4096)), "ISO-8859-1")))
+    p = p.withColumn("size", F.octet_length("piece").cast("long")).withColumn("cut", F.when(F.contains("piece", F.lit(END).cast("binary")), F.octet_length(F.substring_index(F.col("piece").cast("string"), END, 1)) + 1).otherwise(0))
     head = F.decode(F.substring(F.col("piece"), F.lit(1), F.greatest(F.col("cut") - 1, F.lit(0))), "ISO-8859-1")
     p = p.withColumn("head", F.when(F.col("cut") > 0, head))
     p = p.withColumn("content", _header(F.col("head"), "Content-Length").try_cast("long"))
