@@ -21,7 +21,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import fresh
@@ -44,16 +44,10 @@ GENERAL = [Rule("block", p) for p in ("*spam-farm.", "*.casino.", "*-casino.", "
 DEFAULT = "allow"
 
 
-def parts(url) -> tuple[str, str]:
-    """(host with A-Z lower-cased, path) of an address."""
-    if not isinstance(url, str):
-        return "", ""
-    _, found, rest = url.partition("://")
-    if not found:
-        return "", ""
-    host = re.split(r"[/?#]", rest, maxsplit=1)[0]
-    path = re.split(r"[?#]", rest[len(host) :], maxsplit=1)[0]
-    return re.sub("[A-Z]+", lambda m: m[0].lower(), host), path
+def parts(url: Column) -> tuple[Column, Column]:
+    """(host with A-Z lower-cased, path) of an address; both empty where it is null or has no `://`."""
+    found = lambda k: F.coalesce(F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)([^?#]*)", k), F.lit(""))
+    return F.translate(found(1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), found(2)
 
 
 def compiled(rule: Rule) -> re.Pattern:
@@ -100,20 +94,22 @@ class RuleIndex:
         return top[2]
 
 
-def frequencies(urls: DataFrame, column: str, rules: list[Rule]) -> dict[str, int]:
+def frequencies(urls: DataFrame, column: str, rules: list[Rule] | None) -> dict[str, int]:
     """How many addresses hold each token of the rules, counted over all of them; one row per token of a rule comes back."""
-    wanted = sorted({t for r in rules for t in tokens_of(r)})
+    wanted = sorted({t for r in rules or () for t in tokens_of(r)})
     if not wanted:
         return {}
     spark = urls.sparkSession
     asked = spark.createDataFrame([(t,) for t in wanted], "token string")
     held = urls.select(F.explode(F.array_distinct(F.split(F.lower(F.coalesce(F.col(column), F.lit(""))), "[^a-z0-9]+"))).alias("token"))
-    return {r["token"]: r["n"] for r in held.join(asked, "token", "left_semi").groupBy("token").agg(F.count(F.lit(1)).alias("n")).collect()}
+    # Counted first, so that a token that most addresses hold is one row a task; what comes back has the rule list's size.
+    counts = held.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    return {r["token"]: r["n"] for r in counts.join(asked, "token", "left_semi").collect()}
 
 
-def _slices(rules: list[Rule]) -> Iterator[list[Rule]]:
+def _slices(rules: list[Rule] | None) -> Iterator[list[Rule]]:
     part, size = [], 0
-    for r in rules:
+    for r in rules or ():
         if part and size + len(r.pattern) > INDEX_BYTES:
             yield part
             part, size = [], 0
@@ -124,10 +120,10 @@ def _slices(rules: list[Rule]) -> Iterator[list[Rule]]:
 
 def _lookup(index: RuleIndex):
     @F.pandas_udf("struct<verdict:string,label:string,pattern:string,len:int>")
-    def fits(address: pd.Series) -> pd.DataFrame:
+    def fits(host: pd.Series, path: pd.Series) -> pd.DataFrame:
         rows = []
-        for a in address:
-            if (k := index.best(*parts(a))) >= 0:
+        for a, b in zip(host, path, strict=True):
+            if (k := index.best(a, b)) >= 0:
                 _, n, r = index.rules[k]
                 rows.append((r.verdict, r.label, r.pattern, n))
             else:
@@ -137,30 +133,26 @@ def _lookup(index: RuleIndex):
     return fits
 
 
-def match(urls: DataFrame, column: str, rules: list[Rule], into: str) -> DataFrame:
+def match(urls: DataFrame, column: str, rules: list[Rule] | None, into: str) -> DataFrame:
     """urls plus a struct column (verdict, label, pattern) of the winning rule, null where none fits."""
     counts, out, names = frequencies(urls, column, rules), urls, []
     for part in _slices(rules):
         (name,) = fresh(out, "_fit")
-        out, names = out.withColumn(name, _lookup(RuleIndex(part, counts))(F.col(column))), [*names, name]
+        out, names = out.withColumn(name, _lookup(RuleIndex(part, counts))(*parts(F.col(column)))), [*names, name]
     best = F.col(names[0])
     for n in names[1:]:
         best = F.when(F.col(n)["len"] > best["len"], F.col(n)).otherwise(best)
     return out.withColumn(into, best).drop(*names)
 
 
-def judge(pages: DataFrame, listed: list[Rule] = LISTED, general: list[Rule] = GENERAL, default: str = DEFAULT) -> DataFrame:
+def judge(pages: DataFrame, listed: list[Rule] | None = LISTED, general: list[Rule] | None = GENERAL, default: str = DEFAULT) -> DataFrame:
     """page_id, host, path, rule (a listed rule's label), verdict; then the pattern that decided, if any."""
     (first, second) = fresh(pages, "_listed", "_general")
     df = pages.select("page_id", "url")
     df = match(match(df, "url", listed, first), "url", general, second)
 
-    @F.pandas_udf("struct<host:string,path:string>")
-    def split(url: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([parts(u) for u in url], columns=["host", "path"])
-
-    at, a, b = split("url"), F.col(first), F.col(second)
-    return df.select("page_id", at["host"].alias("host"), at["path"].alias("path"), a["label"].alias("rule"), F.coalesce(a["verdict"], b["verdict"], F.lit(default)).alias("verdict"), F.coalesce(a["pattern"], b["pattern"]).alias("pattern"))
+    (host, path), a, b = parts(F.col("url")), F.col(first), F.col(second)
+    return df.select("page_id", host.alias("host"), path.alias("path"), a["label"].alias("rule"), F.coalesce(a["verdict"], b["verdict"], F.lit(default)).alias("verdict"), F.coalesce(a["pattern"], b["pattern"]).alias("pattern"))
 
 
 def _sql() -> str:
