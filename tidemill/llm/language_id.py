@@ -6,28 +6,31 @@ every text lies in exactly one window. The network is trained in numpy by backpr
 bounded sample: PER_LANGUAGE documents of each language, the first in the order of a hash of their ids, with a few windows
 spread over each. Documents whose crc32(doc_id) is divisible by 5 are never learned from.
 
-Defined results: null text, or text without a letter, is `und` with score 0; without labelled documents all are `und`; null
-doc_id is not held out; documents without lang are predicted, not learned from; repeated rows are predicted each; empty
-tables give empty results; extra columns don't matter.
+Defined results: null text, or text without a letter (Unicode category L), is `und` with score 0; without labelled documents
+all are `und`; null doc_id is not held out; documents without lang are predicted, not learned from; repeated rows are predicted
+each, and of rows that share an id and a language the least text is learned from; of languages with equal probabilities the
+first in order is taken; texts of any length are read whole; empty tables give empty results; extra columns don't matter.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import trimmed
+
 WINDOW, HIDDEN = 64, 8
 PER_LANGUAGE, WINDOWS_EACH = 300, 4
 EPOCHS, BATCH, RATE = 14, 128, 0.02
 #: Bytes of text that a task holds as windows at once.
 CHUNK_BYTES = 1 << 20
 FOLDS = 5
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 #: Bytes that are letters in themselves or belong to characters beyond ASCII.
 _LETTER_BYTE = np.array([chr(b).isalpha() and b < 128 or b >= 128 for b in range(256)])
 
@@ -141,10 +144,11 @@ def _held_out(doc_id) -> object:
 
 
 def sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[bytes], list[str]]:
-    """Windows and their languages. The documents are chosen from ids alone, before any text is read."""
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~_held_out("doc_id")).select("doc_id", "lang")
+    """Windows and their languages, of at most per_language documents of each: rows that may be learned from, chosen by their ids
+    before any text is read, and read again under the same conditions."""
+    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~_held_out("doc_id")).select("doc_id", "lang", "text")
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = known.withColumn("rank", rank).where(F.col("rank") <= per_language).select("doc_id", F.col("lang").alias("language")).dropDuplicates(["doc_id"])
+    chosen = known.select("doc_id", "lang").withColumn("rank", rank).where(F.col("rank") <= per_language).select(F.col("doc_id").alias("id"), F.col("lang").alias("language")).distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -156,7 +160,8 @@ def sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[byte
             yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in out], pa.binary()), pa.array([x for _, x in out], pa.string())], ["window", "lang"])
 
     # At most per_language ids for each language: a bounded broadcast.
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "language")
+    same = known["doc_id"].eqNullSafe(F.col("id")) & (known["lang"] == F.col("language"))
+    texts = known.join(F.broadcast(chosen), same).groupBy("id", "language").agg(F.min("text").alias("text")).select("text", "language")
     got = texts.mapInArrow(run, "window binary, lang string").toArrow().to_pydict()
     rows = sorted(zip(got["window"], got["lang"], strict=True))
     return [w for w, _ in rows], [x for _, x in rows]
@@ -181,4 +186,4 @@ def identify(docs: DataFrame, network: Network) -> DataFrame:
                 got += sent.value.predict(batch.column(2).slice(a, 500).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x for x, _ in got], pa.string()), pa.array([s for _, s in got], pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
-    return docs.select("doc_id", _held_out("doc_id").alias("held_out"), "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, held_out boolean, lang_pred string, score double")
+    return docs.select("doc_id", _held_out("doc_id").alias("held_out"), "text").mapInArrow(trimmed(run), f"doc_id {dict(docs.dtypes)['doc_id']}, held_out boolean, lang_pred string, score double")
