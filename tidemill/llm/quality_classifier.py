@@ -4,17 +4,22 @@ Evidence. A logistic regression per label (quality, toxic) is fitted on the driv
 from the presence of telling words (chosen by how far their document counts lie from chance) and from style bins. It gives
 every document a probability per label.
 
-Sites. One grouped aggregation sums those probabilities per (host, path); hosts and the whole corpus are sums of its rows. A
-host's rate is shrunk towards the corpus's, a path's towards its host's, by Beta priors whose strengths are estimated from the
-spread between hosts and between paths (method of moments): a sparse site hardly moves from the prior above it. A document's
-own evidence is left out of its site's rate, and the rate then shifts the document's log odds, by at most MAX_SHIFT.
+Sites. One grouped aggregation sums those probabilities per (host, path); hosts and the whole corpus are sums of its rows. The
+documents have no addresses, so their source stands for the host and their language for the path; both are parameters. A host's
+rate is shrunk towards the corpus's, a path's towards its host's, by Beta priors whose strengths are estimated from the spread
+between hosts and between paths (method of moments) among priors with a single peak: a sparse site hardly moves from the prior
+above it, and without any spread beyond chance no site does. A document's own evidence is left out of its site's rate.
+
+Documents. A document is of its site's kind with probability 1 - MIXED, and any document of the corpus otherwise; that mixture
+takes the place of the corpus's rate in the odds of its own evidence. So a site informs, but the best or the worst of sites moves
+the odds by a bounded factor.
 
 A document is kept if its quality is likelier than not and its toxicity is not.
 
-Defined results: null or empty text is judged by its style bins and its site like any other; null host or path is a site of
-its own; without labels every document has the prior's probability 1/2 and is kept; labels with null ids or values are left
-out; of repeated labels the largest counts; empty tables give empty results; repeated rows are judged each; extra columns are
-carried through untouched.
+Defined results: null or empty text is judged by its style bins and its site like any other; texts are read whole, however long;
+null host or path is a site of its own; without labels every document has the prior's probability 1/2 and is kept, and exactly
+even odds keep; labels with null ids or values are left out; of repeated labels the largest counts; empty tables give empty
+results; repeated rows are judged each; extra columns are carried through untouched.
 """
 
 from __future__ import annotations
@@ -24,18 +29,18 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, fresh, maybe_broadcast, stash
+from .common import discard, fresh, maybe_broadcast, stash, trimmed
 
 #: Labelled documents that the classifier is fitted on, the first in the order of a hash of their ids.
 SAMPLE = 6_000
 #: Telling words kept per label, and how many standard deviations from chance a word must lie.
 WORDS, DEVIATIONS = 200, 5.0
-MAX_SHIFT = 1.0
+#: The share of a site's documents that may be anything.
+MIXED = 0.5
 BROADCAST_ROWS = 100_000
 #: Rounding of sums must not reject what is exactly even.
 _SLACK = 1e-9
@@ -114,7 +119,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> D
             yield pa.RecordBatch.from_arrays([pa.array([style(t) for t in texts], pa.list_(pa.int32())), pa.array([list(features(word_set(t))) for t in texts], pa.list_(pa.string())), batch.column(1), batch.column(2)], ["bins", "features", "quality", "toxic"])
 
     joined = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", F.col("quality").cast("int"), F.col("toxic").cast("int"))
-    return joined.mapInArrow(run, "bins array<int>, features array<string>, quality int, toxic int")
+    return joined.mapInArrow(trimmed(run), "bins array<int>, features array<string>, quality int, toxic int")
 
 
 def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 25) -> np.ndarray:
@@ -174,10 +179,15 @@ def with_evidence(docs: DataFrame, model: Model, into: str) -> DataFrame:
     """docs plus a struct (quality, toxic) of log odds."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("struct<quality:double,toxic:double>")
-    def evidence(text: pd.Series) -> pd.DataFrame:
+    def odds(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = sent.value
-        return pd.DataFrame([m.log_odds(t if isinstance(t, str) else None) for t in text], columns=list(LABELS))
+        for text in texts:
+            both = [m.log_odds(t) for t in text.to_pylist()]
+            yield pa.StructArray.from_arrays([pa.array([b[k] for b in both], pa.float64()) for k in range(2)], list(LABELS))
+
+    @F.arrow_udf("struct<quality:double,toxic:double>")
+    def evidence(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return trimmed(odds)(texts)
 
     return docs.withColumn(into, evidence("text"))
 
@@ -186,30 +196,37 @@ def _p(log_odds: Column) -> Column:
     return 1 / (1 + F.exp(-log_odds))
 
 
-def _strength(sites: DataFrame, prior: str, label: str) -> Column:
-    """Method of moments: how many documents' worth the prior counts, from the spread of rates around it."""
-    rate = F.col(f"s_{label}") / F.col("n")
-    within = F.avg(F.col(prior) * (1 - F.col(prior)) / F.col("n"))
-    spread = F.greatest(F.avg((rate - F.col(prior)) ** 2) - within, F.lit(1e-4))
-    return F.least(F.greatest(F.avg(F.col(prior) * (1 - F.col(prior))) / spread - 1, F.lit(2.0)), F.lit(10_000.0)).alias(f"k_{label}")
+def _weight(prior: str, label: str) -> Column:
+    """Method of moments: what one document of a site counts against the prior (the inverse of the prior's strength), from the
+    spread of rates around it beyond chance."""
+    rate, chance = F.col(f"s_{label}") / F.col("n"), F.col(prior) * (1 - F.col(prior))
+    spread = F.greatest(F.avg((rate - F.col(prior)) ** 2) - F.avg(chance / F.col("n")), F.lit(0.0))
+    left = F.avg(chance) - spread
+    return F.coalesce(F.when(left > 0, spread / left).otherwise(F.lit(1.0)), F.lit(0.0)).alias(f"k_{label}")
+
+
+def _shrunk(total: Column, n: Column, prior: Column, weight: Column) -> Column:
+    """The rate under a Beta prior with a single peak, which no site of one document outweighs."""
+    one = F.least(weight, prior, 1 - prior)
+    return (one * total + prior) / (one * n + 1)
 
 
 def site_rates(scored: DataFrame, evidence: str, host: str, path: str) -> DataFrame:
-    """(host, path, n, per label: sum of probabilities, host's shrunk rate, strength, corpus rate)."""
+    """(host, path, n, per label: s_ sum of probabilities, m_ host's shrunk rate, k_ a document's weight, w_ corpus rate)."""
     e = F.col(evidence)
     paths = scored.groupBy(F.col(host).alias("host"), F.col(path).alias("path")).agg(F.count(F.lit(1)).alias("n"), *[F.sum(_p(e[x])).alias(f"s_{x}") for x in LABELS])
     paths, _ = stash(paths, "paths")
-    hosts, _ = stash(paths.groupBy("host").agg(F.sum("n").alias("n"), *[F.sum(f"s_{x}").alias(f"s_{x}") for x in LABELS]), "hosts")
+    hosts, hosts_path = stash(paths.groupBy("host").agg(F.sum("n").alias("n"), *[F.sum(f"s_{x}").alias(f"s_{x}") for x in LABELS]), "hosts")
     total = hosts.agg(F.sum("n").alias("n"), *[F.sum(f"s_{x}").alias(f"s_{x}") for x in LABELS]).first()
     world = {x: total[f"s_{x}"] / total["n"] if total["n"] else 0.5 for x in LABELS}
     hosts = hosts.withColumns({f"w_{x}": F.lit(world[x]) for x in LABELS})
-    k = hosts.agg(*[_strength(hosts, f"w_{x}", x) for x in LABELS]).first()
-    k = {x: k[f"k_{x}"] if k[f"k_{x}"] is not None else 2.0 for x in LABELS}
-    rates = hosts.select(F.col("host").alias("h"), *[((F.col(f"s_{x}") + k[x] * world[x]) / (F.col("n") + k[x])).alias(f"m_{x}") for x in LABELS])
+    k = hosts.agg(*[_weight(f"w_{x}", x) for x in LABELS]).first()
+    rates = hosts.select(F.col("host").alias("h"), *[_shrunk(F.col(f"s_{x}"), F.col("n"), F.col(f"w_{x}"), F.lit(k[f"k_{x}"])).alias(f"m_{x}") for x in LABELS])
     joined = paths.join(maybe_broadcast(rates, BROADCAST_ROWS), paths["host"].eqNullSafe(rates["h"])).drop("h")
     joined, _ = stash(joined, "site-rates")
-    strength = joined.agg(*[_strength(joined, f"m_{x}", x) for x in LABELS]).first()
-    return joined.withColumns({f"k_{x}": F.lit(strength[f"k_{x}"] if strength[f"k_{x}"] is not None else 2.0) for x in LABELS} | {f"w_{x}": F.lit(world[x]) for x in LABELS})
+    weight = joined.agg(*[_weight(f"m_{x}", x) for x in LABELS]).first()
+    discard(scored.sparkSession, hosts_path)
+    return joined.withColumns({f"k_{x}": F.lit(weight[f"k_{x}"]) for x in LABELS} | {f"w_{x}": F.lit(world[x]) for x in LABELS})
 
 
 def posteriors(scored: DataFrame, evidence: str, host: str, path: str) -> DataFrame:
@@ -223,9 +240,8 @@ def posteriors(scored: DataFrame, evidence: str, host: str, path: str) -> DataFr
     e, site, out = F.col(evidence), F.col(s), []
     odds = lambda r: F.log(F.greatest(r, F.lit(1e-6)) / F.greatest(1 - r, F.lit(1e-6)))
     for x in LABELS:
-        others = F.greatest(site["n"] - 1, F.lit(0))
-        rate = (F.greatest(site[f"s_{x}"] - _p(e[x]), F.lit(0.0)) + site[f"k_{x}"] * site[f"m_{x}"]) / (others + site[f"k_{x}"])
-        shift = F.greatest(F.least(odds(rate) - odds(site[f"w_{x}"]), F.lit(MAX_SHIFT)), F.lit(-MAX_SHIFT))
+        rate = _shrunk(F.greatest(site[f"s_{x}"] - _p(e[x]), F.lit(0.0)), F.greatest(site["n"] - 1, F.lit(0)), site[f"m_{x}"], site[f"k_{x}"])
+        shift = odds((1 - MIXED) * rate + MIXED * site[f"w_{x}"]) - odds(site[f"w_{x}"])
         out.append(_p(e[x] + shift).alias(x))
     df = df.withColumn(post, F.struct(*out)).drop(h, p, s)
     return df.withColumn(post, F.struct(F.col(post)["quality"].alias("p_quality"), F.col(post)["toxic"].alias("p_toxic"), ((F.col(post)["quality"] >= 0.5 - _SLACK) & (F.col(post)["toxic"] <= 0.5 + _SLACK)).alias("kept"))), post
@@ -240,7 +256,9 @@ def report(docs: DataFrame, labels: DataFrame, host: str = "source", path: str =
 
 
 def keep(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang") -> DataFrame:
-    """The documents kept, with their own columns. Evidence is computed twice rather than the texts written once more."""
+    """The documents kept, with their own columns. Texts are judged once and written with their evidence: the sites' sums read
+    the evidence alone, and the verdicts need no shuffle of texts where the sites can be broadcast."""
     (evidence,) = fresh(docs, "_evidence")
-    out, post = posteriors(with_evidence(docs, fit(docs, labels), evidence), evidence, host, path)
+    scored, _ = stash(with_evidence(docs, fit(docs, labels), evidence), "judged")
+    out, post = posteriors(scored, evidence, host, path)
     return out.where(F.col(post)["kept"]).select(*[F.col(f"`{c}`") for c in docs.columns])
