@@ -36,10 +36,10 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, stash
+from .common import discard, stash, trimmed
 
 LEXICON_WORDS = 32_768
-CACHE_WORDS = 500_000
+CACHE_WORDS = 300_000
 #: Longer words are neither counted nor remembered.
 WORD_CHARS = 64
 #: Distinct words that a counting task holds before it passes them on.
@@ -73,13 +73,17 @@ class _Kinds(dict):
 _KINDS = _Kinds()
 
 
+def _prepared(text: str) -> str:
+    """Composed and in lower case, which goes by single characters; only the capital sigma would look at its neighbours."""
+    return unicodedata.normalize("NFC", text).replace("\u03a3", "\u03c3").lower()
+
+
 def words(text: str) -> list[str]:
     """The words to be merged of a text whose chunks stand on lines of their own: composed, lower case, split by kind of
     character; a line end remains as a word of its own."""
     if text.isascii():
         return _ASCII_WORD.findall(text.lower())
-    # Lower case goes by single characters; only the capital sigma would look at its neighbours.
-    low = unicodedata.normalize("NFC", text).replace("\u03a3", "\u03c3").lower()
+    low = _prepared(text)
     if low.replace("\n", "").isprintable() and not _NUMERAL.search(low):
         return _PLAIN_WORD.findall(low)
     return [low[m.start() : m.end()] for m in _ASCII_WORD.finditer(low.translate(_KINDS))]
@@ -103,29 +107,61 @@ def chunks(text: str) -> list[str]:
 _NO_RANK = 1 << 30
 
 
+#: How a tokenizer file must prepare, split and merge text for this module (fixed values).
+_FORM = {
+    "normalizer": [["NFC"], ["Replace", r"\s+", " "], ["Lowercase"]],
+    "split": [["Split", r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+", "Removed", True], ["ByteLevel", False, False]],
+    "model": ["BPE", False, False, False, False, False],
+    "after": [False, False],
+}
+
+
+def _form(spec: dict) -> dict:
+    parts = lambda x, key: x[key] if x and key in x else [x] if x else []
+    regex_of = lambda x: x.get("pattern", {}).get("Regex")
+    kept = {"NFC": lambda x: [], "Lowercase": lambda x: [], "Replace": lambda x: [regex_of(x), x["content"]], "Split": lambda x: [regex_of(x), x["behavior"], x["invert"]], "ByteLevel": lambda x: [x["add_prefix_space"], x["use_regex"]]}
+    told = lambda x: [x["type"], *kept.get(x["type"], lambda y: [str(y)])(x)]
+    model = spec["model"]
+    return {
+        "normalizer": [told(x) for x in parts(spec["normalizer"], "normalizers")], "split": [told(x) for x in parts(spec["pre_tokenizer"], "pretokenizers")],
+        "model": [model["type"], *[bool(model.get(k)) for k in ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback", "ignore_merges")]], "after": [bool(spec.get("post_processor")), bool(spec.get("decoder"))],
+    }
+
+
 class Vocabulary:
-    """A tokenizer file with word-end suffix: ids, merges by id and special tokens."""
+    """A tokenizer file with word-end suffix: ids, merges by id and special tokens. Tasks get merges and tokens as arrays, which
+    hold no object for each entry; ids by name stay on the driver."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model, end = spec["model"], spec["model"]["end_of_word_suffix"]
+        if (found := _form(spec)) != _FORM:
+            raise ValueError(f"{path} splits or merges text in another way than this module: {found}")
         self.ids: dict[str, int] = model["vocab"]
-        self.pairs: dict[tuple[int, int], tuple[int, int]] = {}
+        pairs: dict[tuple[int, int], tuple[int, int]] = {}
         for rank, (a, b) in enumerate(m.split(" ") if isinstance(m, str) else m for m in model["merges"]):
-            self.pairs[self.ids[a], self.ids[b]] = rank, self.ids[a + b]
+            pairs[self.ids[a], self.ids[b]] = rank, self.ids[a + b]
         symbols = byte_symbols()
         self.inner, self.last = [self.ids[s] for s in symbols], [self.ids[s + end] for s in symbols]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         names = self.ids | self.special
-        self.tokens = [b""] * (max(names.values()) + 1)
+        tokens = [b""] * (max(names.values()) + 1)
         for t, k in names.items():
-            self.tokens[k] = t.encode()
-        keys = sorted((a << 32 | b, rank) for (a, b), (rank, _) in self.pairs.items())
+            tokens[k] = t.encode()
+        self.size, self.spelled, self.ends = len(tokens), b"".join(tokens), np.cumsum([len(t) for t in tokens])
+        keys = sorted((a << 32 | b, rank) for (a, b), (rank, _) in pairs.items())
         self.keys, self.ranks = np.array([k for k, _ in keys], np.int64), np.array([*[r for _, r in keys], _NO_RANK], np.int32)
-        self.made = np.array([new for _, new in sorted(self.pairs.values())], np.int64)
+        self.made = np.array([new for _, new in sorted(pairs.values())], np.int64)
         self.inner_of, self.last_of = np.array(self.inner, np.int64), np.array(self.last, np.int64)
 
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "ids"}
+
+    def tokens(self) -> list[bytes]:
+        ends = self.ends.tolist()
+        return [self.spelled[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
     def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The ranks of many pairs, _NO_RANK for those that never merge."""
         key = a << 32 | b
@@ -168,35 +204,25 @@ class Vocabulary:
     def merge(self, word: bytes) -> list[int]:
         """Exact merges: always the pair of lowest rank, the leftmost of equal ones."""
         ids = [self.inner[b] for b in word[:-1]] + [self.last[word[-1]]]
-        pairs, none = self.pairs, (1 << 30, -1)
-        if len(ids) <= 48:
-            get = pairs.get
-            ranks = [get(p, none) for p in zip(ids, ids[1:], strict=False)]
-            while ranks and (best := min(ranks)) is not none:
-                i = ranks.index(best)
-                ids[i : i + 2] = [best[1]]
-                del ranks[i]
-                if i:
-                    ranks[i - 1] = get((ids[i - 1], best[1]), none)
-                if i < len(ranks):
-                    ranks[i] = get((best[1], ids[i + 1]), none)
-            return ids
+        codes = np.array(ids, np.int64)
         left, right = list(range(-1, len(ids) - 1)), [*range(1, len(ids)), -1]
-        heap = [(*pairs[p], i, p) for i, p in enumerate(zip(ids, ids[1:], strict=False)) if p in pairs]
-        heap = [(rank, i, p, new) for rank, new, i, p in heap]
+        ranks = self.rank(codes[:-1], codes[1:])
+        heap = [(int(ranks[i]), i, ids[i], ids[i + 1]) for i in np.flatnonzero(ranks != _NO_RANK).tolist()]
         heapq.heapify(heap)
         while heap:
-            _, i, (a, b), new = heapq.heappop(heap)
+            rank, i, a, b = heapq.heappop(heap)
             j = right[i]
             if ids[i] != a or j < 0 or ids[j] != b:
                 continue
-            ids[i], ids[j] = new, -1
+            ids[i], ids[j] = int(self.made[rank]), -1
             right[i] = right[j]
             if right[j] >= 0:
                 left[right[j]] = i
-            for x, y in ((left[i], i), (i, right[i])):
-                if x >= 0 and y >= 0 and (p := (ids[x], ids[y])) in pairs:
-                    heapq.heappush(heap, (pairs[p][0], x, p, pairs[p][1]))
+            near = [(x, y) for x, y in ((left[i], i), (i, right[i])) if x >= 0 and y >= 0]
+            found = self.rank(np.array([ids[x] for x, _ in near], np.int64), np.array([ids[y] for _, y in near], np.int64)) if near else ()
+            for (x, y), r in zip(near, found, strict=True):
+                if r != _NO_RANK:
+                    heapq.heappush(heap, (int(r), x, ids[x], ids[y]))
         return [k for k in ids if k >= 0]
 
 
@@ -299,6 +325,7 @@ class Encoder(dict):
     def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None = None):
         super().__init__()
         self.vocabulary, self.lexicon = vocabulary, lexicon
+        self.spelled: list[bytes] = []
         names = sorted(vocabulary.special, key=len, reverse=True)
         self.special = re.compile("(" + "|".join(map(re.escape, names)) + ")") if names else None
 
@@ -350,9 +377,14 @@ class Encoder(dict):
                 b += 1
             parts = [self.special.split(t) if t and self.special and "<" in t and self.special.search(t) else (t or "",) for t in texts[a:b]]
             lists = [[p if p in named else chunks(p) for p in own] for own in parts]
-            if len(self) > CACHE_WORDS:
-                self.clear()
-            if unseen := list({c for own in lists for x in own if not isinstance(x, str) for c in x}.difference(self)):
+            distinct: set[str] = set()
+            for own in lists:
+                distinct.update(*[x for x in own if not isinstance(x, str)])
+            if len(self) > CACHE_WORDS:  # what this batch holds is likely to come again
+                kept = {c: self[c] for c in distinct if c in self}
+                super().clear()
+                self.update(kept)
+            if unseen := list(distinct.difference(self)):
                 # Few chunks hold characters that need the longer way; they don't slow the others.
                 plain = [c for c in unseen if c.isprintable() and (c.isascii() or not _NUMERAL.search(c))]
                 for part in (plain, list(set(unseen).difference(plain)) if len(plain) < len(unseen) else []):
@@ -368,7 +400,13 @@ class Encoder(dict):
 
     def decode(self, ids: bytes) -> bytes:
         """The tokens' strings in UTF-8, joined by a space."""
-        return b" ".join(map(self.vocabulary.tokens.__getitem__, memoryview(ids).cast("I")))
+        if not self.spelled:
+            self.spelled = self.vocabulary.tokens()
+        return b" ".join(map(self.spelled.__getitem__, memoryview(ids).cast("I")))
+
+    def clear(self) -> None:
+        super().clear()
+        self.spelled = []
 
 
 def frequent_words(docs: DataFrame, limit: int = LEXICON_WORDS) -> list[str]:
@@ -399,14 +437,19 @@ def frequent_words(docs: DataFrame, limit: int = LEXICON_WORDS) -> list[str]:
                         yield flush()
         yield flush()
 
-    counts, path = stash(docs.select("text").mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1").withColumn("size", F.floor(16 * F.log2("n"))), "words")
+    counts, path = stash(docs.select("text").mapInArrow(trimmed(count), "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1").withColumn("size", F.floor(16 * F.log2("n"))), "words")
     least, held = None, 0
     for r in counts.groupBy("size").agg(F.count(F.lit(1)).alias("c")).orderBy(F.desc("size")).collect():
         held += r["c"]
         if held > limit:
             break
         least = r["size"]
-    found = [] if least is None else sorted(r["word"] for r in counts.where(F.col("size") >= least).select("word").collect())
+    chosen = counts.where(F.col("size") >= least) if least is not None else counts.where("false")
+    if least is None and held:
+        # Even the most frequent size has more words than the lexicon: about half as many of them as it takes, by their hashes.
+        top = counts.agg(F.max("size")).first()[0]
+        chosen = counts.where((F.col("size") == top) & (F.pmod(F.xxhash64("word"), F.lit(-(-2 * held // max(1, limit)))) == 0)) if limit else chosen
+    found = sorted(r["word"] for r in chosen.select("word").collect())
     discard(docs.sparkSession, path)
     return found
 
@@ -424,12 +467,13 @@ class Codec:
 
     def __init__(self, spark: SparkSession, path: str, lexicon_words: list[str]):
         vocabulary = Vocabulary(path)
-        entries = {w: vocabulary.merge(w) for w in {x.encode() for x in lexicon_words} if w}
-        self.width = 2 if len(vocabulary.tokens) <= 1 << 16 else 4
+        merged = Encoder(vocabulary).merged([w for w in sorted(set(lexicon_words)) if w])
+        entries = {w.encode(): list(struct.unpack(f"<{len(ids) // 4}I", ids)) for w, ids in merged.items()}
+        self.width = 2 if vocabulary.size <= 1 << 16 else 4
         self._sent = Sent(uuid.uuid4().hex, spark.sparkContext.broadcast((vocabulary, compile_lexicon(entries))))
 
     def encoder(self) -> Encoder:
-        """The encoder of this process; what it has looked up serves all tasks that run there."""
+        """The encoder of this process; what it has looked up serves the tasks that follow."""
         if _LATEST.get("of") != self._sent.id:
             vocabulary, block = self._sent.data.value
             _LATEST.update(of=self._sent.id, encoder=Encoder(vocabulary, Lexicon(block)))
@@ -459,7 +503,7 @@ def encode(docs: DataFrame, c: Codec) -> DataFrame:
             values = pa.Array.from_buffers(pa.int32(), sum(map(len, got)) // 4, [None, pa.py_buffer(b"".join(got))])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, values)], ["doc_id", "ids"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, ids array<int>")
+    return docs.select("doc_id", "text").mapInArrow(trimmed(run), f"doc_id {dict(docs.dtypes)['doc_id']}, ids array<int>")
 
 
 def _sums(values) -> Iterator[int]:
@@ -478,7 +522,7 @@ def decode(encoded: DataFrame, c: Codec) -> DataFrame:
             texts = [e.decode(struct.pack(f"<{len(x)}I", *x)).decode() if x else "" for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {dict(encoded.dtypes)['doc_id']}, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(trimmed(run), f"doc_id {dict(encoded.dtypes)['doc_id']}, text string")
 
 
 def report(docs: DataFrame, path: str, lexicon_words: int = LEXICON_WORDS) -> DataFrame:
@@ -495,4 +539,4 @@ def report(docs: DataFrame, path: str, lexicon_words: int = LEXICON_WORDS) -> Da
                 text_sha.append(hashlib.sha256(e.decode(ids)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return docs.select("doc_id", "text").mapInArrow(trimmed(run), f"doc_id {dict(docs.dtypes)['doc_id']}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")

@@ -22,7 +22,6 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -119,7 +118,7 @@ def _filed(classes: DataFrame, plan: dict[int, tuple[int, int]]) -> DataFrame:
                 rows = np.flatnonzero(widths == width)
                 for a in range(0, len(rows), step := max(1, 250_000 // (tables * PROBES))):
                     part = batch.take(pa.array(rows[a : a + step]))
-                    x = _numbered(np.array(part.column(1).to_pylist(), np.float64))
+                    x = _numbered(_rows(part.column(1), np.arange(part.num_rows)))
                     spots = buckets(x / np.linalg.norm(x, axis=1, keepdims=True), k, tables)
                     n, _, probes = spots.shape
                     spots = spots * tables + np.arange(tables)[None, :, None]
@@ -131,15 +130,22 @@ def _filed(classes: DataFrame, plan: dict[int, tuple[int, int]]) -> DataFrame:
     return classes.select("id", "embedding", F.size("embedding").alias("width")).mapInArrow(trimmed(run), f"id {kind}, width int, spot bigint, own boolean")
 
 
-@F.pandas_udf(T.DoubleType())
-def cosine(a: pd.Series, b: pd.Series) -> pd.Series:
+def _rows(lists: pa.ListArray, at: np.ndarray) -> np.ndarray:
+    """Lists of one length as the rows of a matrix."""
+    values, starts = lists.values.to_numpy(zero_copy_only=False).astype(np.float64), lists.offsets.to_numpy()
+    width = starts[at[0] + 1] - starts[at[0]]
+    return values[starts[at][:, None] + np.arange(width)]
+
+
+@F.arrow_udf(T.DoubleType())
+def cosine(a: pa.Array, b: pa.Array) -> pa.Array:
     """Of vectors in pairs of equal length; lengths may differ between pairs."""
-    sizes, out = a.map(len).to_numpy(), np.zeros(len(a))
+    sizes, out = np.diff(a.offsets.to_numpy()), np.zeros(len(a))
     for n in np.unique(sizes):
         at = np.flatnonzero(sizes == n)
-        x, y = (_numbered(np.stack(s.iloc[at].to_list()).astype(np.float64)) for s in (a, b))
+        x, y = _numbered(_rows(a, at)), _numbered(_rows(b, at))
         out[at] = (x * y).sum(1) / np.sqrt((x * x).sum(1) * (y * y).sum(1))
-    return pd.Series(out)
+    return pa.array(out)
 
 
 def links(classes: DataFrame, least: float) -> DataFrame:

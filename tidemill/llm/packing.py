@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import maybe_broadcast, stash
+from .common import maybe_broadcast, stash, trimmed
 
 WINDOW = 2048
 END_ID = 1
@@ -49,7 +49,7 @@ def encoded(docs: DataFrame, c: bpe.Codec, end_id: int = END_ID) -> DataFrame:
                 before += sizes[-1]
             yield pa.RecordBatch.from_arrays([pa.array([part] * len(ids), pa.int32()), pa.array(starts, pa.int64()), batch.column(0), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary())], ["part", "before", "doc_id", "n", "ids"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"part int, before bigint, doc_id {dict(docs.dtypes)['doc_id']}, n bigint, ids binary")
+    return docs.select("doc_id", "text").mapInArrow(trimmed(run), f"part int, before bigint, doc_id {dict(docs.dtypes)['doc_id']}, n bigint, ids binary")
 
 
 def pack(docs: DataFrame, c: bpe.Codec, window: int = WINDOW, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
@@ -79,4 +79,4 @@ def pack(docs: DataFrame, c: bpe.Codec, window: int = WINDOW, end_id: int = END_
                 data.append(pa.array(columns[6], pa.binary()))
             yield pa.RecordBatch.from_arrays(data, ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"][: len(data)])
 
-    return placed.mapInArrow(cut, PIECES.format(dict(docs.dtypes)["doc_id"]) + (", ids binary" if with_ids else ""))
+    return placed.mapInArrow(trimmed(cut), PIECES.format(dict(docs.dtypes)["doc_id"]) + (", ids binary" if with_ids else ""))

@@ -55,9 +55,7 @@ def op10_warc(spark, sf_dir):
 
 
 def queries() -> dict:
-    import corpus_pipeline
-
-    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_quality_classifier, op2_embedding_dedup, op3_url_filters, op4_ngram_jaccard, op5_bpe, op6_packing, op7_language_id, op8_secret_scans, op9_quality_rules, op10_warc)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_embedding_dedup, op3_url_filters, op4_ngram_jaccard, op5_bpe, op6_packing, op7_language_id, op8_secret_scans, op9_quality_rules, op10_warc)}
 
 
 def oracle_sql() -> dict:

@@ -21,6 +21,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import trimmed
+
 try:  # the parser behind `re`, public under another name in each version
     from re import _constants as sre
     from re import _parser as sre_parse
@@ -211,7 +213,7 @@ def find(docs: DataFrame, rules: list[SecretRule] | None = None) -> DataFrame:
             spans = [[{"kind": rules[k].kind, "start": s, "end": e, "base": rules[k].base} for s, e, k in sorted(r, key=lambda x: (x[0], x[2]))] for r in scanner.scan(texts)]
             yield pa.RecordBatch.from_arrays([ids, pa.array(spans, _SPANS)], ["doc_id", "found"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, found array<struct<kind:string,start:bigint,end:bigint,base:boolean>>")
+    return docs.select("doc_id", "text").mapInArrow(trimmed(run), f"doc_id {dict(docs.dtypes)['doc_id']}, found array<struct<kind:string,start:bigint,end:bigint,base:boolean>>")
 
 
 _SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("base", pa.bool_())]))
@@ -243,7 +245,7 @@ def redact(docs: DataFrame, rules: list[SecretRule] | None = None) -> DataFrame:
                 columns[size] = pa.array([None if t is None else len(t) for t in done], batch.schema.field(size).type)
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(trimmed(run), docs.schema)
 
 
 def report(docs: DataFrame) -> DataFrame:

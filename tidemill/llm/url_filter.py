@@ -20,7 +20,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -119,16 +119,17 @@ def _slices(rules: list[Rule] | None) -> Iterator[list[Rule]]:
 
 
 def _lookup(index: RuleIndex):
-    @F.pandas_udf("struct<verdict:string,label:string,pattern:string,len:int>")
-    def fits(host: pd.Series, path: pd.Series) -> pd.DataFrame:
+    @F.arrow_udf("struct<verdict:string,label:string,pattern:string,len:int>")
+    def fits(host: pa.Array, path: pa.Array) -> pa.Array:
         rows = []
-        for a, b in zip(host, path, strict=True):
+        for a, b in zip(host.to_pylist(), path.to_pylist(), strict=True):
             if (k := index.best(a, b)) >= 0:
                 _, n, r = index.rules[k]
                 rows.append((r.verdict, r.label, r.pattern, n))
             else:
                 rows.append((None, None, None, -1))
-        return pd.DataFrame(rows, columns=["verdict", "label", "pattern", "len"])
+        kinds = [pa.string()] * 3 + [pa.int32()]
+        return pa.StructArray.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["verdict", "label", "pattern", "len"])
 
     return fits
 
