@@ -33,6 +33,29 @@ def test_report_equals_library(spark, lexicon):
     assert bpe.report(docs(spark, TEXTS).limit(0), PATH, lexicon).count() == 0
 
 
+def test_lexicon_where_all_words_are_equally_frequent(spark):
+    texts = [" ".join(f"{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(400))] * 2
+    got = bpe.frequent_words(docs(spark, texts), 100)
+    assert 20 <= len(got) <= 100 and bpe.frequent_words(docs(spark, texts), 0) == [] and len(bpe.frequent_words(docs(spark, texts), 1000)) == 400
+
+
+def test_other_tokenizers_are_refused(tmp_path):
+    import json
+
+    spec = json.load(open(PATH, encoding="utf-8"))
+    spec["normalizer"]["normalizers"].pop()
+    (tmp_path / "t.json").write_text(json.dumps(spec))
+    with pytest.raises(ValueError, match="splits or merges"):
+        bpe.Vocabulary(str(tmp_path / "t.json"))
+
+
+def test_a_full_cache_changes_nothing(spark, monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE_WORDS", 3)
+    monkeypatch.setattr(bpe, "BATCH_CHARS", 40)
+    e = bpe.Encoder(bpe.Vocabulary(PATH))
+    assert e.encode_all(TEXTS * 2) == [want(t)[0] for t in TEXTS] * 2
+
+
 def test_encode_decode_round(spark):
     c = bpe.codec(docs(spark, TEXTS), PATH, 100)
     for r in bpe.decode(bpe.encode(docs(spark, TEXTS), c), c).collect():
@@ -79,3 +102,13 @@ def test_packing(spark, window):
         assert [r["offset"] for r in own] == [sum(x["length"] for x in own[:i]) for i in range(len(own))]
         assert sum(r["length"] for r in own) == (window if s < max(by_sequence) else total - window * s)
     assert packing.pack(d.limit(0), bpe.plain_codec(spark, PATH)).count() == 0
+
+
+def test_rows_that_share_an_id_are_packed_each(spark):
+    rows = [(7, "one two three", 1, 5), (7, "one two three", 2, 5), (7, "other", 3, 5), (None, "no id", 4, 5), (7, None, 5, 5)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, start long, part int").repartition(2)
+    got = packing.pack(d, bpe.plain_codec(spark, PATH), 4, with_ids=True).collect()
+    ids = sorted((r["doc_id"] or 0, r["sequence_id"], r["offset"], bytes(r["ids"])) for r in got)
+    assert sum(len(x[3]) // 4 for x in ids) == sum(len(want(r[1])[0]) // 4 + 1 for r in rows)
+    stream = b"".join(x[3] for x in sorted(ids, key=lambda x: x[1:3]))
+    assert sorted(stream.split(struct.pack("<I", 1))[:-1]) == sorted(want(r[1])[0] for r in rows)

@@ -1,5 +1,6 @@
 import random
 
+import brute
 import numpy as np
 import pytest
 
@@ -7,41 +8,16 @@ from tidemill.llm import embedding_dedup, jaccard
 from tidemill.llm.components import components
 
 
-def groups(n, links):
-    root = list(range(n))
-
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    for a, b in links:
-        a, b = sorted((find(a), find(b)))
-        root[b] = a
-    return [find(x) for x in range(n)]
-
-
 @pytest.mark.parametrize("seed", range(2))
 def test_components(spark, seed):
     rng = random.Random(seed)
     links = [(k, k + 1) for k in range(30)] + [(100, k) for k in range(101, 140)] + [(rng.randrange(200, 300), rng.randrange(200, 300)) for _ in range(60)] + [(5, 5)]
     got = {r["id"]: r["component"] for r in components(spark.createDataFrame(links, "u long, v long")).collect()}
-    want = groups(300, links)
+    want = brute.components(300, links)
     assert got == {v: want[v] for a, b in links if a != b for v in (a, b)}
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
-def shingles(text, n):
-    words = (text or "").encode().lower().split()
-    return {tuple(words[i : i + n]) for i in range(len(words) - n + 1)} if len(words) >= n else {tuple(words)} if words else set()
-
-
-def brute(texts, n, percent):
-    sets = [shingles(t, n) for t in texts]
-    links = [(a, b) for a in range(len(sets)) for b in range(a) if sets[a] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
-    return sets, groups(len(sets), links)
-
-
 def corpus(seed, n_docs=150):
     rng = random.Random(seed)
     vocabulary = [f"w{i}" for i in range(400)]
@@ -71,7 +47,7 @@ def test_jaccard_equals_brute_force(spark, monkeypatch, n, percent, often):
     monkeypatch.setattr(jaccard, "OFTEN", often)
     texts = corpus(n + percent)
     docs = spark.createDataFrame([(k, t, 1, 2) for k, t in enumerate(texts)], "doc_id long, text string, id long, component long").repartition(5)
-    sets, want = brute(texts, n, percent)
+    sets, want = brute.near_copies(texts, n, percent)
     got = {r["doc_id"]: r for r in jaccard.join(docs, n, percent).collect()}
     assert {k: got[k]["n_shingles"] for k in got} == {k: len(s) for k, s in enumerate(sets)}
     assert {k: got[k]["component_id"] for k in got} == dict(enumerate(want))
@@ -82,7 +58,7 @@ def test_jaccard_without_groups_is_exact_too(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "families", lambda narrow: spark.createDataFrame([], "id long, family long, m long"))
     texts = corpus(3, 80)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    assert {r["doc_id"]: r["component_id"] for r in jaccard.join(docs, 3, 80).collect()} == dict(enumerate(brute(texts, 3, 80)[1]))
+    assert {r["doc_id"]: r["component_id"] for r in jaccard.join(docs, 3, 80).collect()} == dict(enumerate(brute.near_copies(texts, 3, 80)[1]))
 
 
 @pytest.mark.parametrize("n,percent", [(3, 90), (5, 80)])
@@ -104,7 +80,7 @@ def test_jaccard_families_of_altered_copies(spark, n, percent):
         texts += [" ".join(w) for w in family]
     rng.shuffle(texts)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    want = brute(texts, n, percent)[1]
+    want = brute.near_copies(texts, n, percent)[1]
     assert 3 < len(set(want)) < len(texts)
     assert {r["doc_id"]: r["component_id"] for r in jaccard.join(docs, n, percent).collect()} == dict(enumerate(want))
 

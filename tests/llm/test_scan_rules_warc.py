@@ -1,8 +1,10 @@
 import base64
 import hashlib
 import math
+import os
 import random
 
+import brute
 import pytest
 
 from tidemill.llm import quality_rules, secrets, url_filter, warc
@@ -15,16 +17,6 @@ def docs(spark, texts):
     return spark.createDataFrame([(k, t, "en" if k % 2 else None, "s" if k % 3 else None, 0, "clash") for k, t in enumerate(texts)], SCHEMA)
 
 
-def repeat_words(words):
-    seen, hit = {}, set()
-    for i in range(len(words) - 2):
-        seen.setdefault(tuple(words[i : i + 3]), []).append(i)
-    for at in seen.values():
-        if len(at) > 1:
-            hit |= {p + k for p in at for k in range(3)}
-    return len(hit)
-
-
 def test_quality_counts(spark):
     texts = [None, "", " \t\n", "a b c a b c a", "x\nx\n\n x\nx \n|#", "é ü $$ & <b>\x0b\x0cword\rnext one", "w " * 5000, " ".join(f"w{i}" for i in range(200)), " ".join(f"w{i}" for i in range(200))]
     got = {r["doc_id"]: r for r in quality_rules.report(docs(spark, texts)).collect()}
@@ -37,7 +29,7 @@ def test_quality_counts(spark):
             if x.encode().split():
                 dup += x in seen
                 seen.add(x)
-        assert (r["n_words"], r["word_chars"], r["n_dup_lines"], r["n_repeat_words"]) == (len(words), sum(len(w.decode()) for w in words), dup, repeat_words(words))
+        assert (r["n_words"], r["word_chars"], r["n_dup_lines"], r["n_repeat_words"]) == (len(words), sum(len(w.decode()) for w in words), dup, brute.repeat_words(words))
         assert r["n_symbols"] == sum((t or "").count(c) for c in "#*$%&|<>")
     assert [got[k]["kept"] for k in (0, 6, 7, 8)] == [False, False, True, True]
 
@@ -58,17 +50,6 @@ def test_adaptive_limits_follow_the_group(spark):
     assert kept == set(range(121)) - {60}
 
 
-def brute_limits(values, unit):
-    """The middle of the first gap in a sorted group's ladder."""
-    v = sorted(values)
-    steps = [v[max(0, math.ceil(q * len(v)) - 1)] for q in quality_rules.LADDER]
-    quartile = steps[quality_rules.LADDER.index(0.75)] - steps[0]
-    for low, high in zip(steps, steps[1:], strict=False):
-        if high - low > quality_rules.GAP * max(low - steps[0], quartile, unit):
-            return (low + high) / 2
-    return math.inf
-
-
 def test_limits_come_from_the_groups_own_ladders(spark):
     """Three sources use symbols in their own ways; each has some junk, and no single cutoff fits them all."""
     rng = random.Random(4)
@@ -92,7 +73,7 @@ def test_limits_come_from_the_groups_own_ladders(spark):
     for source in limits:
         ids = [k for k, *_, s, _ in rows if s == source]
         middle = sorted(got[k]["n_words"] for k in ids)[math.ceil(len(ids) / 2) - 1]
-        assert limits[source] == pytest.approx(brute_limits([ratio[k] for k in ids], 1 / middle))
+        assert limits[source] == pytest.approx(brute.limit([ratio[k] for k in ids], 1 / middle))
     assert len(set(limits.values())) == 3
 
 
@@ -119,6 +100,13 @@ def test_secrets_match_plain_scans(spark):
     assert "github:0:40" in got[10]["spans"] and "private_key" in got[10]["spans"] and "url_login" in got[12]["spans"]
 
 
+def test_secrets_of_no_rows_and_repeated_rows(spark):
+    assert secrets.report(docs(spark, TEXTS).limit(0)).count() == 0
+    d = spark.createDataFrame([(1, TEXTS[3], "x"), (1, TEXTS[3], "y"), (None, TEXTS[3], "z")], "doc_id long, text string, found string")
+    got = secrets.report(d).collect()
+    assert len(got) == 3 and len({(r["n_assign"], r["base_sha256"], r["spans"]) for r in got}) == 1
+
+
 def test_trigram_queries_lose_nothing():
     s = secrets.Scanner([*secrets.BASE, *secrets.MORE])
     texts = [t or "" for t in TEXTS]
@@ -144,6 +132,36 @@ def test_url_rules(spark):
     assert url_filter.judge(d.limit(0)).count() == 0
 
 
+def test_url_rules_ties_repeats_and_no_rules(spark):
+    rules = [url_filter.Rule("block", "||a.net/x", "first"), url_filter.Rule("allow", "||a.net/x", "second"), url_filter.Rule("allow", "||a.net/", "short")]
+    d = spark.createDataFrame([(1, "http://a.net/x", 0), (1, "http://a.net/x", 1), (None, "http://a.net/y", 2)], "page_id long, url string, rule int")
+    got = sorted(((r["page_id"] or 0), r["rule"], r["verdict"]) for r in url_filter.judge(d, rules).collect())
+    assert got == [(0, "short", "allow"), (1, "first", "block"), (1, "first", "block")]
+    for none in (None, []):
+        assert [r["verdict"] for r in url_filter.judge(d, none, none).collect()] == ["allow"] * 3
+
+
+def test_url_parts(spark):
+    urls = ["HTTP://Ex.ORG:80/A/b?c#d", "a://b://c/d", "://host", "x://", "x:///p", "x://h#f/g", "x://h?q/r", "É://É.net/É", "x://u@h\nn/p", None, "no"]
+    want = [("ex.org:80", "/A/b"), ("b:", "//c/d"), ("host", ""), ("", ""), ("", "/p"), ("h", ""), ("h", ""), ("É.net", "/É"), ("u@h\nn", "/p"), ("", ""), ("", "")]
+    d = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r["page_id"]: (r["host"], r["path"]) for r in url_filter.judge(d).collect()}
+    assert [got[k] for k in range(len(urls))] == want
+
+
+def test_url_index_of_many_rules_equals_trying_all(spark):
+    rng = random.Random(6)
+    hosts = [f"{a}{b}.{c}" for a in ("big", "my", "x1") for b in ("shop", "news", "cdn") for c in ("net", "org", "com")]
+    rules = [url_filter.Rule(rng.choice(["block", "allow"]), rng.choice(["||", ""]) + rng.choice([rng.choice(hosts), "*." + rng.choice(["net", "org"]), rng.choice(hosts) + "/" + rng.choice(["ads", "img*", "*/ads/"])]), f"r{k}") for k in range(200)]
+    urls = [f"http://{rng.choice(['', 'www.', 'a.b.'])}{rng.choice(hosts)}/{rng.choice(['', 'ads', 'ads/x', 'img1/ads/', 'q'])}" for _ in range(300)]
+    d = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r["page_id"]: r["rule"] for r in url_filter.judge(d, rules, []).collect()}
+    for k, u in enumerate(urls):
+        at = u.removeprefix("http://")
+        fit = [(len(r.pattern.removeprefix("||")), -i, r.label) for i, r in enumerate(rules) if url_filter.compiled(r).match(at)]
+        assert got[k] == (max(fit)[2] if fit else None), u
+
+
 def test_url_index_slices_agree(spark, monkeypatch):
     d = spark.createDataFrame([(k, f"http://h{k % 7}.net/p{k}/") for k in range(50)], "page_id long, url string")
     rules = [url_filter.Rule("block", f"||h{k}.net/p", f"h{k}.net/p") for k in range(5)] + url_filter.LISTED
@@ -181,6 +199,28 @@ def test_warc_round_trip(spark, monkeypatch, per_file, split):
         assert tuple(got[k])[1:] == (len(raw), digest(raw), "response" if at == k else "revisit", None if at == k else at), k
 
 
+def test_warc_odd_ids_and_clashing_columns(spark):
+    rows = [(None, "same", "a"), (3, "same", "b"), (3, "same", "c"), (5, "same", "d"), (None, None, "e"), (None, "", "f"), (7, "only", "g")]
+    d = spark.createDataFrame(rows, "page_id long, html string, digest string")
+    got = sorted((r["page_id"] or 0, r["payload_bytes"], r["record_type"], r["refers_to"]) for r in warc.round_trip(d).collect())
+    assert got == [(0, 0, "response", None), (0, 0, "response", None), (0, 4, "revisit", 3), (3, 4, "response", None), (3, 4, "response", None), (5, 4, "revisit", 3), (7, 4, "response", None)]
+
+
+def test_warc_headers_of_any_length(spark):
+    """Archives of others: long headers, an odd order of lines, and bytes before the payload's end mark."""
+    from tidemill.llm.common import shared_dir
+
+    path = f"{shared_dir(spark)}/foreign-{random.random()}"
+    long = f"X-Long: {'y' * 20_000}\r\nX-More: é\r\n"
+    text = "".join(f"{warc.MAGIC}{long if k % 2 else ''}content-length: {len(b)}\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:{k}>\r\n\r\n{b}\r\n\r\n" for k, b in enumerate(["one", "two\r\n\r\nthree", FAKE, ""]))
+    folder = path.removeprefix("file://")
+    os.makedirs(folder)
+    with open(f"{folder}/a.warc", "w", encoding="utf-8", newline="") as f:
+        f.write(text)
+    got = sorted((r["page_id"], r["payload_bytes"], r["payload_digest"]) for r in warc.read(spark, path).collect())
+    assert got == [(k, len(b), digest(b.encode())) for k, b in enumerate(["one", "two\r\n\r\nthree", FAKE, ""])]
+
+
 def test_warc_empty_and_size_bound(spark):
     assert warc.round_trip(pages(spark, ["x"]).limit(0)).count() == 0
     path = scratch_path(spark, "t")
