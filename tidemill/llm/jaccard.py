@@ -10,9 +10,10 @@
    |u & v| counts (|u| + |v| - |du ^ dv|) / 2, and du, dv disjoint would bring u to the centre as well. So pairs are looked
    for through the rarest shared tokens of differences, and no group is compared member by member.
 4. Between groups, sets that reach the threshold share one of the first n - ceil(t n) + 1 tokens of either, in an order common
-   to all; tokens found often go last, by a sample of each set's lowest hashes and by a second look at what the prefixes hold. The matrix holds for each such token the groups whose members have it there. A set that
-   meets a group is bounded by the tokens it shares with the group's union there, plus what can lie behind them. Only
-   qualifying groups are opened: the set is described by its difference from the centre, like a member, and step 3 covers it.
+   to all; tokens found often go last, by a sample of each set's lowest hashes and by a second look at what the prefixes hold.
+   The matrix holds for each such token the groups whose members have it there. A set that meets a group is bounded by the
+   tokens it shares with the group's union there, plus what can lie behind them. Only qualifying groups are opened: the set is
+   described by its difference from the centre, like a member, and step 3 covers it.
 
 The result is exact for components: each pair over the threshold is linked, or both sides are linked to the same centre.
 
