@@ -10,7 +10,7 @@
    |u & v| counts (|u| + |v| - |du ^ dv|) / 2, and du, dv disjoint would bring u to the centre as well. So pairs are looked
    for through the rarest shared tokens of differences, and no group is compared member by member.
 4. Between groups, sets that reach the threshold share one of the first n - ceil(t n) + 1 tokens of either, in an order common
-   to all; tokens found often go last, by a sample of each set's lowest hashes and by a second look at what the prefixes hold.
+   to all; tokens found often go last, counted in a sample of each set's lowest hashes, which reaches as far as its prefix may.
    The matrix holds for each such token the groups whose members have it there. A set that meets a group is bounded by the
    tokens it shares with the group's union there, plus what can lie behind them. Only qualifying groups are opened: the set is
    described by its difference from the centre, like a member, and step 3 covers it.
@@ -39,8 +39,8 @@ from .components import components
 BANDS, ROWS = 8, 3
 #: A token in more samples than this goes last in the common order.
 OFTEN = 24
-#: Where the matrix, joined with itself, would have more than so many times its rows, tokens found often are looked for again.
-OFFENCE = 3
+#: A token in so many of a thousand texts makes way for others in the samples, and so many such tokens are known to a task.
+LOCAL, LOCAL_TOKENS = 3, 200_000
 #: Often-found tokens that tasks are told of (8 bytes each); with more, the bound OFTEN is raised, which costs time only.
 OFTEN_TOKENS = 2_000_000
 #: Ids that may be broadcast to pick texts or groups; more are joined by shuffle.
@@ -88,6 +88,13 @@ def tokens(text: str | None, n: int) -> np.ndarray:
     return out[np.concatenate(([True], out[1:] != out[:-1]))]
 
 
+def _among(t: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which tokens are in a sorted array that isn't empty."""
+    at = np.searchsorted(known, t)
+    at[at == len(known)] = 0
+    return known[at] == t
+
+
 def _need(n, percent: int):
     """The least overlap of a set of n tokens with another that it reaches the threshold with."""
     return -(-n * percent // 100)
@@ -137,12 +144,12 @@ def sketches(docs: DataFrame, n: int, percent: int) -> DataFrame:
     """doc_id, n, k1, k2, bands, sample: what one scan keeps of each document. A task gives a text's lists once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = _Seen()
+        seen, common = _Seen(), np.empty(0, np.uint64)
         for batch in batches:
             for a in range(0, batch.num_rows, 1000):
                 part = batch.slice(a, 1000)
-                rows = []
-                for text in part.column(1).to_pylist():
+                rows, sets = [], {}
+                for k, text in enumerate(part.column(1).to_pylist()):
                     key = xxhash.xxh3_128_digest((text or "").encode("utf-8", "surrogatepass"))
                     if key in seen:
                         rows.append((*seen[key], [], []))
@@ -150,12 +157,18 @@ def sketches(docs: DataFrame, n: int, percent: int) -> DataFrame:
                     t = tokens(text, n)
                     own = (len(t), *_digest(t)) if len(t) else (0, 0, 0)
                     seen.put(key, own)
+                    rows.append((*own, [], []))
                     if _near(len(t), percent):
-                        # The lowest hashes, beyond the prefix by as many as may turn out to be found often.
-                        p = len(t) - _need(len(t), percent) + 1
-                        rows.append((*own, _bands(t), t[: p + p // 2 + 4].view(np.int64)))
-                    else:
-                        rows.append((*own, [], []))
+                        sets[k] = t
+                if sets:
+                    found, counts = np.unique(np.concatenate(list(sets.values())), return_counts=True)
+                    common = np.union1d(common if len(common) < LOCAL_TOKENS else common[:0], found[counts >= LOCAL])
+                for k, t in sets.items():
+                    # The lowest hashes, beyond the prefix by as many as may turn out to be found often, besides those known to be.
+                    p = len(t) - _need(len(t), percent) + 1
+                    p += p // 2 + 4
+                    early = np.flatnonzero(~_among(t, common)) if len(common) else np.arange(len(t))
+                    rows[k] = (*rows[k][:3], _bands(t), t[: early[p - 1] + 1 if len(early) >= p else len(t)].view(np.int64))
                 kinds = [pa.int64()] * 3 + [pa.list_(pa.int64())] * 2
                 yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]], ["doc_id", "n", "k1", "k2", "bands", "sample"])
 
@@ -238,8 +251,7 @@ def _often(narrow: DataFrame) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, often: np.ndarray, n: int, percent: int, salt: int) -> DataFrame:
-    """(token, id, at): the first tokens of every set, those found often last; at packs the set's size and the position. Where
-    tokens found often have given way to others, twice as many tokens behind the prefix come along, to see how often those are found."""
+    """(token, id, at): the first tokens of every set, those found often last; at packs the set's size and the position."""
     sent = docs.sparkSession.sparkContext.broadcast(often)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,12 +275,8 @@ def prefixes(docs: DataFrame, often: np.ndarray, n: int, percent: int, salt: int
                 cid, p = _class(*_digest(t), salt), len(t) - _need(len(t), percent) + 1
                 total = len(t)
                 if len(known):
-                    at = np.searchsorted(known, t)
-                    at[at == len(known)] = 0
-                    late = known[at] == t
-                    early = np.flatnonzero(~late)
-                    passed = (early[p - 1] + 1 if len(early) >= p else total) - p
-                    t, p = np.concatenate((t[early][: p + 2 * passed], t[late])), p + 2 * passed
+                    late = _among(t, known)
+                    t = np.concatenate((t[~late][:p], t[late]))
                 held.append(t[:p])
                 of.append(cid)
                 size.append(total)
@@ -281,13 +289,8 @@ def prefixes(docs: DataFrame, often: np.ndarray, n: int, percent: int, salt: int
     return docs.where("doc_id IS NOT NULL").select("text").mapInArrow(trimmed(run), "token bigint, id bigint, at bigint")
 
 
-def _inside() -> Column:
-    """Whether a token belongs to its set's prefix."""
-    return F.col("left") > F.col("rest")
-
-
-def _matrix(docs: DataFrame, groups: DataFrame, often: np.ndarray, n: int, percent: int, salt: int) -> tuple[DataFrame, DataFrame, list[str]]:
-    """(sets' tokens that others have as well, the matrix of tokens and groups, the paths of both)."""
+def visits(docs: DataFrame, groups: DataFrame, often: np.ndarray, n: int, percent: int, salt: int) -> DataFrame:
+    """(id, grp): classes and the other groups that qualify for being opened to them, by the token-group matrix."""
     spark, same = docs.sparkSession, Window.partitionBy("token")
     rows = prefixes(docs, often, n, percent, salt).withColumns({"x": F.min("id").over(same), "y": F.max("id").over(same)}).where("x < y").drop("x", "y")
     met, met_path = stash(rows, "tokens-met")
@@ -296,41 +299,7 @@ def _matrix(docs: DataFrame, groups: DataFrame, often: np.ndarray, n: int, perce
     met = met.select("token", "id", F.coalesce("grp", "id").alias("grp"), F.coalesce("members", F.lit(1)).alias("members"), size.alias("n"), (size - pos).alias("left"))
     # Tokens behind the prefix of a set of n: ceil(t n) - 1.
     met, asked_path = stash(met.withColumn("rest", F.expr(f"(n * {percent} + 99) div 100 - 1")), "asked")
-    mine = lambda c: F.when(_inside(), F.col(c))
-    cells = met.groupBy("token", "grp").agg(F.first("members").alias("members"), F.min(mine("n")).alias("low"), F.max(mine("n")).alias("high"), F.max(mine("left")).alias("left"), F.max(mine("rest")).alias("most"), F.count(mine("n")).alias("sets"))
-    cells, cells_path = stash(cells, "matrix")
-    discard(spark, met_path)
-    return met, cells, [asked_path, cells_path]
-
-
-def _offenders(cells: DataFrame) -> np.ndarray:
-    """Tokens that would make the join of the matrix with itself larger than the matrix, because they stand in the prefixes of
-    many groups: those that the samples didn't show. Empty where they don't matter."""
-    each = cells.groupBy("token").agg(F.count(F.lit(1)).alias("g"), F.count_if(F.col("sets") > 0).alias("met"), F.sum("sets").alias("sets"))
-    each, path = stash(each.where(F.col("g") > 1), "tokens-by-groups")
-    cost = each.agg(F.coalesce(F.sum(F.col("met") * F.col("sets")), F.lit(0)), F.coalesce(F.sum("sets"), F.lit(0))).first()
-    found, bound = np.empty(0, np.uint64), OFTEN
-    if cost[0] > OFFENCE * cost[1]:
-        while not small(each.where(F.col("g") > bound), OFTEN_TOKENS):
-            bound *= 4
-        found = each.where(F.col("g") > bound).select("token").toArrow().column(0).to_numpy().astype(np.int64).view(np.uint64)
-    discard(cells.sparkSession, path)
-    return found
-
-
-def visits(docs: DataFrame, groups: DataFrame, often: np.ndarray, n: int, percent: int, salt: int) -> DataFrame:
-    """(id, grp): classes and the other groups that qualify for being opened to them, by the token-group matrix."""
-    spark = docs.sparkSession
-    while True:
-        met, cells, paths = _matrix(docs, groups, often, n, percent, salt)
-        more = np.setdiff1d(_offenders(cells), often)
-        if not len(more):
-            break
-        # They go last as well; the order stays one for all sets.
-        often = np.union1d(often, more)
-        for path in paths:
-            discard(spark, path)
-    met, cells = met.where(_inside()), cells.where("sets > 0")
+    cells, cells_path = stash(met.groupBy("token", "grp").agg(F.first("members").alias("members"), F.min("n").alias("low"), F.max("n").alias("high"), F.max("left").alias("left"), F.max("rest").alias("most")), "matrix")
     q, g = met.alias("q"), cells.alias("g")
     larger = (F.col("q.members") < F.col("g.members")) | (F.col("q.members") == F.col("g.members")) & (F.col("q.grp") < F.col("g.grp"))
     sized = (F.col("g.high") * 100 >= F.col("q.n") * percent) & (F.col("q.n") * 100 >= F.col("g.low") * percent)
@@ -341,7 +310,7 @@ def visits(docs: DataFrame, groups: DataFrame, often: np.ndarray, n: int, percen
     seen = seen.withColumn("first", (F.col("mine") >= F.col("least")) & (F.col("left") >= F.col("least")))
     pairs = seen.groupBy("id", "grp").agg(F.count(F.lit(1)).alias("shared"), F.max("first").alias("first"), F.first("rest").alias("rest"), F.min("least").alias("least"), F.max("most").alias("most"))
     out, _ = stash(pairs.where(F.col("first") & (F.col("shared") + F.greatest("rest", "most") >= F.col("least"))).select("id", "grp"), "visits")
-    for path in paths:
+    for path in (met_path, asked_path, cells_path):
         discard(spark, path)
     return out
 
